@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
+
+from ..shipping import mapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,22 +92,72 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return low
 
 
-def in_units(members: DataFrame, bucket: list[str], most: float, weight: str = "weight") -> DataFrame:
+def in_units(members: DataFrame, bucket: list[str], most: float) -> DataFrame:
     """Members of each bucket dealt to verification units of two blocks at most.
 
-    ``members`` has ``id``, the ``bucket`` columns and ``weight``. A bucket over ``most`` is split by a hash of the id
+    ``members`` has ``id``, ``weight`` and the ``bucket`` columns. A bucket over ``most`` is split by a hash of the id
     into blocks of about that weight; every pair of its blocks makes a unit, so that all pairs of a bucket meet in
     exactly one unit (pairs inside block b in unit (b, b)) and no task holds a whole hot bucket. Buckets of one member
-    go. Returns the members' columns with ``unit`` (long hash) , ``b1``, ``b2`` and ``block``.
+    go, and so does a bucket that has exactly the members of another (the first of such buckets stays).
+    Returns the members' columns and ``unit``, ``block``, ``b1``, ``b2``.
     """
-    size = members.groupBy(*bucket).agg(F.count("*").alias("n_in"), F.sum(weight).alias("w_in")).where("n_in > 1")
-    size = size.select(*bucket, F.ceil(F.col("w_in") / F.lit(float(most))).cast("int").alias("blocks"))
-    m = members.join(size, bucket).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    order = F.struct(*bucket)
+    size = members.groupBy(*bucket).agg(
+        F.count("*").alias("n_in"), F.sum("weight").alias("w_in"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("set2"),
+    ).where("n_in > 1")
+    size = size.groupBy("n_in", "w_in", "set1", "set2").agg(F.min(order).alias("_b")).select("_b.*", F.ceil(F.col("w_in") / F.lit(float(most))).cast("int").alias("blocks"))
+    m = members.join(size, bucket).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return m.select(
-        *[c for c in members.columns],
-        F.least("block", "other").alias("b1"),
-        F.greatest("block", "other").alias("b2"),
-        "block",
-        F.xxhash64(*bucket, F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-    )
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return m.select(*members.columns, low.alias("b1"), high.alias("b2"), "block", F.xxhash64(*bucket, low, high).alias("unit"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal ``column``, whatever the batches' borders."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(b.schema.names.index(column)).to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if held and key[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix) of each element."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def key_filter(keys: DataFrame, column: str, bits: int, hashes: int = 4) -> np.ndarray:
+    """Bloom filter of a long column's values, in ``bits`` / 64 words however many values there are."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = filter_places(b.column(0).to_numpy(zero_copy_only=False), bits, hashes).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["word", "bit"])
+
+    out = np.zeros(bits // 64, np.uint64)
+    rows = mapped(keys.select(column), words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
+    out[rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def filter_places(keys: np.ndarray, bits: int, hashes: int = 4) -> np.ndarray:
+    k = np.ascontiguousarray(keys, np.int64).view(np.uint64)
+    return np.stack([mix(k + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) % np.uint64(bits) for i in range(hashes)]).astype(np.int64)
+
+
+def may_hold(words: np.ndarray, keys: np.ndarray, hashes: int = 4) -> np.ndarray:
+    at = filter_places(keys, len(words) * 64, hashes)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)

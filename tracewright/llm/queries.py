@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman_ids, packing
+from . import byte_bpe, chat, huffman_ids, lsh_forest, media_chunks, packing, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"))))
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.read_media(*media_chunks.write_media(table(spark, sf_dir, "documents")))
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.digests(huffman_ids.read_huffman(*huffman_ids.write_huffman(table(spark, sf_dir, "documents"))))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op9_huffman_ids)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_collapse, op6_secret_scan, op7_byte_bpe, op8_media_chunks, op9_huffman_ids, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_collapse": chat.ORACLE_SQL}
