@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, huffman_ids, lsh_forest, media_chunks, packing, secret_scan
+from . import byte_bpe, chat, html_mincut, huffman_ids, lang_cnn, lattice_dedup, lsh_forest, media_chunks, packing, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,14 @@ def op3_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op4_lang_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_cnn.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+ALL = (
+    op1_lattice_dedup, op2_best_fit_packing, op3_chat_collapse, op4_lang_cnn, op5_html_mincut,
+    op6_secret_scan, op7_byte_bpe, op8_media_chunks, op9_huffman_ids, op10_jaccard_join,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chat_collapse, op6_secret_scan, op7_byte_bpe, op8_media_chunks, op9_huffman_ids, op10_jaccard_join)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
