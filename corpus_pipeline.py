@@ -10,16 +10,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import packing
+from tracewright.llm import lang_cnn, lsh_forest, packing, secret_scan
 from tracewright.llm.common import stored, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those without letters or with a doubtful language go."""
+    return lang_cnn.keep_known(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by word shingles, that of the smallest id."""
+    return lsh_forest.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with found secrets masked and ``n_chars`` counted anew where they were."""
+    return secret_scan.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens of all documents that are left."""
     return packing.best_fit_pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
 
 #: Stages of trained models and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
