@@ -33,18 +33,24 @@ def _winkler(a: str, b: str) -> float:
     return j + 0.1 * same * (1 - j)
 
 
-@F.pandas_udf("double")
-def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro similarity; null if either string is."""
+def _jaros(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity with prefix weight 0.1 over four letters."""
+def _winklers(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def jaro(a, b):
+    """Jaro similarity; null if either string is."""
+    return F.pandas_udf(_jaros, "double")(a, b)
+
+
+def jaro_winkler(a, b):
+    """Jaro-Winkler similarity with prefix weight 0.1 over four letters."""
+    return F.pandas_udf(_winklers, "double")(a, b)
+
+
 def normalised(column):
     """Lower case, letters and digits only."""
     return F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]", "")
