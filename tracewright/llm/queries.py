@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html_mincut, huffman_ids, lang_cnn, lattice_dedup, lsh_forest, media_chunks, packing, secret_scan
+from . import byte_bpe, chat, html_mincut, huffman_ids, lang_cnn, lattice_dedup, lsh_forest, media_chunks, packing, secret_scan, sql
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_collapse": chat.ORACLE_SQL}
+    return dict(sql.ORACLE)
