@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL, Query
 
-MODULES = ("transforms", "profiles", "discovery", "conformance", "quality")
+MODULES = ("transforms", "profiles", "discovery", "conformance", "quality", "views")
 
 
 def _load() -> None:
