@@ -55,7 +55,7 @@ def h8_net_reduction(spark, d) -> DataFrame:
     return miners.net_table(spark, conform.simplified(day_net(spark, d)))
 
 
-@query(f"WITH {OCEL_SQL}, {ABLATE}, r2 AS (SELECT x.* FROM e2o x LEFT JOIN dr USING (event_id, object_id) WHERE dr.event_id IS NULL) SELECT 'events' AS relation, CAST(0 AS BIGINT) AS only_one, CAST(0 AS BIGINT) AS only_two, (SELECT count(*) FROM ev) AS \"both\", 1.0::DOUBLE AS jaccard UNION ALL SELECT 'objects', 0, 0, (SELECT count(*) FROM ob), 1.0 UNION ALL SELECT 'e2o', (SELECT count(*) FROM e2o) - (SELECT count(*) FROM r2), 0, (SELECT count(*) FROM r2), (SELECT count(*) FROM r2) / (SELECT count(*) FROM e2o)")
+@query(f"WITH {OCEL_SQL}, {ABLATE}, r2 AS (SELECT DISTINCT x.* FROM e2o x LEFT JOIN dr USING (event_id, object_id) WHERE dr.event_id IS NULL), r1 AS (SELECT DISTINCT * FROM e2o) SELECT 'events' AS relation, CAST(0 AS BIGINT) AS only_one, CAST(0 AS BIGINT) AS only_two, (SELECT count(DISTINCT (event_id, activity, ts)) FROM ev) AS \"both\", 1.0::DOUBLE AS jaccard UNION ALL SELECT 'objects', 0, 0, (SELECT count(*) FROM ob), 1.0 UNION ALL SELECT 'e2o', (SELECT count(*) FROM r1) - (SELECT count(*) FROM r2), 0, (SELECT count(*) FROM r2), (SELECT count(*) FROM r2) / (SELECT count(*) FROM r1)")
 def h10_compare(spark, d) -> DataFrame:
     log = order_ocel(spark, d)
     return conform.compare(log, olap.without(log, olap.ablate(log)))

@@ -154,7 +154,7 @@ def items(spark, d) -> DataFrame:
     from ..sources.tables import line_id
 
     x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate > o_orderdate")
-    return x.select(F.col("l_suppkey").cast("string").alias("resource"), line_id().alias("item"), micros("o_orderdate").alias("start"), micros("l_shipdate").alias("end"))
+    return x.select(F.col("l_suppkey").cast("string").alias("resource"), line_id().alias("item"), F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_returnflag").alias("activity"), micros("o_orderdate").alias("start"), micros("l_shipdate").alias("end"))
 
 
 ITEMS = "it AS (SELECT CAST(l_suppkey AS VARCHAR) AS resource, " + LINE_SQL.split(" AS ts, ")[1].split(" AS event_id")[0] + " AS item, epoch_us(o_orderdate) AS s, epoch_us(l_shipdate) AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate)"
@@ -166,7 +166,7 @@ def g27_busy_time(spark, d) -> DataFrame:
     return relations.busy_time(items(spark, d))
 
 
-@query(f"WITH {ITEMS} SELECT a.resource, a.item, count(*) AS concurrent FROM it a JOIN it b ON a.resource = b.resource AND b.s <= a.s AND b.e > a.s GROUP BY 1, 2")
+@query(f"WITH {ITEMS} SELECT a.resource, a.item, (SELECT count(*) FROM it b WHERE a.resource = b.resource AND b.s <= a.s AND b.e > a.s) AS concurrent FROM it a")
 def g28_workload(spark, d) -> DataFrame:
     return relations.workload(items(spark, d))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import miners, object_nets, profile, relations, views
 from ..sources import bpmn
-from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_id, line_log, order_ocel, table, user_log
+from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_log, order_ocel, user_log
 from .discovery import DF, HAND, ITEMS, items
 from .profiles import PATHS
 from .registry import query
@@ -44,7 +44,8 @@ def v10_variant_list(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {FLAT_SQL}, q AS (SELECT DISTINCT event_id, object_id, object_type, epoch_us(ts) AS t FROM r WHERE object_type IN ('Order','Supplier')), li AS (SELECT object_id, min(t) AS a, max(t) AS z FROM q GROUP BY 1), ph AS (SELECT event_id, object_id, object_type, CASE WHEN z > a THEN (t - a) / (z - a) ELSE 0.5 END AS phase FROM q JOIN li USING (object_id)),
-f1 AS (SELECT CAST(least(floor(x.phase * 24), 23) AS INTEGER) AS bin_x, CAST(least(floor(y.phase * 24), 23) AS INTEGER) AS bin_y, round(sum(1.0::DOUBLE), 9) AS mass FROM ph x JOIN ph y ON x.event_id = y.event_id AND x.object_type = 'Order' AND y.object_type = 'Supplier' GROUP BY 1, 2)
+p AS (SELECT x.event_id, CAST(least(floor(x.phase * 24), 23) AS INTEGER) AS bin_x, CAST(least(floor(y.phase * 24), 23) AS INTEGER) AS bin_y FROM ph x JOIN ph y ON x.event_id = y.event_id AND x.object_type = 'Order' AND y.object_type = 'Supplier'), n AS (SELECT event_id, count(*) AS n FROM p GROUP BY 1),
+f1 AS (SELECT bin_x, bin_y, round(sum(1.0::DOUBLE / n), 9) AS mass FROM p JOIN n USING (event_id) GROUP BY 1, 2)
 SELECT a.bin_x, a.bin_y, a.mass AS mass_one, coalesce(b.mass, 0.0) AS mass_two, round(coalesce(b.mass, 0.0) - a.mass, 9) AS delta FROM f1 a LEFT JOIN f1 b ON b.bin_x = a.bin_x AND b.bin_y = a.bin_y AND b.bin_x < 12""")
 def v13_compare_fields(spark, d) -> DataFrame:
     f = profile.interaction_field(order_ocel(spark, d), "Order", "Supplier")
@@ -67,19 +68,14 @@ LIFE = ITEMS.replace("AS resource,", "AS resource, CAST(l_orderkey AS VARCHAR) A
 
 @query(f"WITH {LIFE}, s AS (SELECT case_id, activity, s AS start, row_number() OVER (PARTITION BY case_id, activity ORDER BY s) AS k FROM it), e AS (SELECT case_id, activity, e AS \"end\", row_number() OVER (PARTITION BY case_id, activity ORDER BY e) AS k FROM it) SELECT case_id, activity, k, start, \"end\" FROM s JOIN e USING (case_id, activity, k)")
 def g26_work_items(spark, d) -> DataFrame:
-    i = _life(spark, d)
+    i = items(spark, d)
     e = i.select("case_id", "activity", F.lit("start").alias("phase"), F.col("start").alias("t"), F.col("item").alias("event_id")).unionAll(i.select("case_id", "activity", F.lit("complete"), "end", "item"))
     return views.work_items(e)
 
 
-def _life(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem").select(line_id().alias("item"), F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_returnflag").alias("activity"))
-    return items(spark, d).join(li, "item")
-
-
 @query(f"WITH {LIFE} SELECT x.activity AS a, y.activity AS b, count(*) AS n FROM it x JOIN it y ON x.case_id = y.case_id AND x.activity < y.activity AND greatest(x.s, y.s) < least(x.e, y.e) GROUP BY 1, 2")
 def g11_lifecycle_overlap(spark, d) -> DataFrame:
-    return views.lifecycle_overlap(_life(spark, d))
+    return views.lifecycle_overlap(items(spark, d))
 
 
 @query(f"WITH {USER_SQL} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pos, activity, epoch_us(ts) AS t FROM log WHERE case_id IN (SELECT DISTINCT case_id FROM log ORDER BY case_id LIMIT 10)")
