@@ -12,10 +12,11 @@ keep all their rows, ordered by content. An empty table gives an empty result. O
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from ..shipping import mapped
 from .common import stored, whole_text
 from .words49k import tokenizer_path, word_encoder
 
-LIMIT, STRIDE, BLOCK_IDS = 16, 512, 1 << 16
+LIMIT, STRIDE, BLOCK_IDS, BLOCKS_AT_ONCE = 16, 512, 1 << 16, 16
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -109,9 +110,9 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, ids): every whole text's ids as little-endian 16-bit bytes, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer).encode, np.array([end_id], "<u2").tobytes()
+        encode, end = word_encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t.as_py()) + end for t in b.column(1)], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids + end for ids in encode(t.as_py() for t in b.column(1))], pa.binary())], names=["doc_id", "ids"])
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, ids binary")
 
@@ -122,10 +123,8 @@ def id_counts(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                n += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=vocabulary) if len(x.as_buffer()) > vocabulary else 0
-                if len(x.as_buffer()) <= vocabulary:
-                    np.add.at(n, np.frombuffer(x.as_buffer(), "<u2"), 1)
+            for k in range(0, b.num_rows, 500):
+                n += np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in b.column(0).slice(k, 500)), "<u2"), minlength=vocabulary)
         seen = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen])], names=["id", "n"])
 
@@ -195,8 +194,11 @@ def write_huffman(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
     return stored(blocks, "huffman", "uncompressed"), stored(lens.coalesce(1), "huffman-code")
 
 
-def read_huffman(blocks: DataFrame, code: DataFrame) -> DataFrame:
-    """Documents of the blocks in file order: (doc_id, start, ids), ids as little-endian 16-bit bytes."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def decoder(blocks: DataFrame, code: DataFrame) -> Callable[[Batches], Batches]:
+    """A function from batches of blocks to batches of (doc_id, start, ids)."""
     sc = blocks.sparkSession.sparkContext
     lengths = np.zeros(1 << 16, np.uint8)
     for i, n in code.collect():  # at most the vocabulary
@@ -211,27 +213,39 @@ def read_huffman(blocks: DataFrame, code: DataFrame) -> DataFrame:
         lens, base = known.value
         table = lookup(lens)
         for b in batches:
-            for k in range(b.num_rows):
-                row = {name: b.column(i)[k] for i, name in enumerate(b.schema.names)}
-                n, size, marks = (row[c].values.to_numpy(zero_copy_only=False) for c in ("n_ids", "doc_bytes", "marks"))
+            for k in range(0, b.num_rows, BLOCKS_AT_ONCE):
+                part = b.slice(k, BLOCKS_AT_ONCE)
+                n, size, marks = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n_ids", "doc_bytes", "marks"))
+                docs = part.column("doc_ids").flatten()
+                bits = b"".join(x.as_buffer() for x in part.column("bits"))
                 per = -(-n // STRIDE)
                 doc = np.repeat(np.arange(len(n)), per)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-                ids = decode_ids(np.frombuffer(row["bits"].as_buffer(), np.uint8), (np.cumsum(size) - size)[doc].astype(np.int64) * 8 + marks, np.minimum(STRIDE, n[doc] - nth * STRIDE).astype(np.int64), table)
+                ids = decode_ids(np.frombuffer(bits, np.uint8), (np.cumsum(size, dtype=np.int64) - size)[doc] * 8 + marks, np.minimum(STRIDE, n[doc] - nth * STRIDE).astype(np.int64), table)
                 end = np.cumsum(n, dtype=np.int64)
-                start = base[row["range"].as_py()] + row["start"].as_py() + end - n
-                data = [ids[e - c : e].astype("<u2").tobytes() for e, c in zip(end.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "start", "ids"])
+                block = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(part.column("n_ids")).to_numpy())
+                first = np.array([base[r] + s for r, s in zip(part.column("range").to_pylist(), part.column("start").to_pylist())])
+                began = np.zeros(part.num_rows, np.int64)
+                np.add.at(began, block, n)
+                start = first[block] + end - n - (np.cumsum(began) - began)[block]
+                data = ids.astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([docs, pa.array(start, pa.int64()), pa.array([data[2 * (e - c) : 2 * e] for e, c in zip(end.tolist(), n.tolist())], pa.binary())], names=["doc_id", "start", "ids"])
+
+    return decode
 
-    return mapped(blocks, decode, "doc_id long, start long, ids binary")
 
+def read_huffman(blocks: DataFrame, code: DataFrame) -> DataFrame:
+    """Documents of the blocks in file order: (doc_id, start, ids), ids as little-endian 16-bit bytes."""
+    return mapped(blocks, decoder(blocks, code), "doc_id long, start long, ids binary")
 
-def digests(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of documents as ``read_huffman`` returns them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+def read_digests(blocks: DataFrame, code: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of the blocks' documents, decoded and digested in one Python pass."""
+    decode = decoder(blocks, code)
+
+    def run(batches: Batches) -> Batches:
+        for b in decode(batches):
             ids = [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return mapped(read, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(blocks, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -33,12 +33,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> D
     """Token pieces of every whole text, each with its rank among its partition's pieces of that length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = word_encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
+        encode, part, seen = word_encoder(tokenizer).encode_all, TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u2")
+            for doc, got in zip(batch.column(0).to_pylist(), encode(t.as_py() for t in batch.column(1))):
+                ids = np.frombuffer(got + end, "<u2")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity].astype("<u4")
                     n = len(own)

@@ -45,7 +45,7 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman_ids.digests(huffman_ids.read_huffman(*huffman_ids.write_huffman(table(spark, sf_dir, "documents"))))
+    return huffman_ids.read_digests(*huffman_ids.write_huffman(table(spark, sf_dir, "documents")))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

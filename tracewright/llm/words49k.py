@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import regex
 
 #: Characters for which normalisation is plain lower-casing; text with others goes through the library as a whole.
 PLAIN = re.compile("[!-~¡-¬®-ÿ]+")
+PLAIN_TEXT = re.compile("[\\t\\n\\r !-~¡-¬®-ÿ]*")
 #: The file's own pre-token pattern, and the line end that parts chunks.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 _MADE: dict[str, "WordEncoder"] = {}
@@ -36,7 +38,7 @@ class WordEncoder:
     hold characters that its normaliser may change or the marks of special tokens.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most_chunks: int = 120_000, most_words: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,40 +49,72 @@ class WordEncoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(keep)]
         self.to_char = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.most, self.chunks, self.words = most, {}, {}
+        self.most_chunks, self.most_words, self.chunks, self.words = most_chunks, most_words, {}, {}
 
-    def _word(self, word: str) -> bytes:
-        got = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin1").translate(self.to_char))], "<u2").tobytes()
-        if len(self.words) >= self.most:
+    def _words(self, need: set[str]) -> None:
+        words = need.difference(self.words)
+        if len(self.words) + len(words) > self.most_words:
             self.words.clear()
-        self.words[word] = got
-        return got
+            words = need
+        known, tokenize, table = self.words, self.model.tokenize, self.to_char
+        for w in words:
+            spelt = w if w.isascii() else w.encode().decode("latin1").translate(table)
+            known[w] = array("H", [t.id for t in tokenize(spelt)]).tobytes()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        plain, odd = [], []
-        for c in chunks:
-            s = c.decode()
-            (plain if PLAIN.fullmatch(s) and "<|" not in s else odd).append((c, s))
-        for c, s in odd:
-            self.chunks[c] = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
-        if not plain:
+        joined = b"\n".join(chunks).decode()
+        if not PLAIN.fullmatch(joined.replace("\n", "")) or "<|" in joined:
+            plain = []
+            for c in chunks:
+                s = c.decode()
+                if PLAIN.fullmatch(s) and "<|" not in s:
+                    plain.append(c)
+                else:
+                    self.chunks[c] = array("H", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+            if not plain:
+                return
+            chunks, joined = plain, b"\n".join(plain).decode()
+        found = WORDS.findall(joined.lower())
+        self._words(set(found))
+        self.words["\n"] = b""
+        if len(found) == 2 * len(chunks) - 1:  # each chunk is one word
+            self.chunks.update(zip(chunks, map(self.words.__getitem__, found[::2])))
             return
-        known, parts, at = self.words, [], 0
-        for w in WORDS.findall("\n".join(s.lower() for _, s in plain)):
-            if w == "\n":
-                self.chunks[plain[at][0]] = b"".join(parts)
-                parts, at = [], at + 1
-            else:
-                got = known.get(w)
-                parts.append(self._word(w) if got is None else got)
-        self.chunks[plain[at][0]] = b"".join(parts)
-
-    def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").encode("utf-8", "replace").split()
-        if len(self.chunks) >= self.most:
+        ids, at, k = list(map(self.words.__getitem__, found)), 0, 0
+        try:
+            while True:
+                end = found.index("\n", at)
+                self.chunks[chunks[k]] = ids[at] if end == at + 1 else b"".join(ids[at:end])
+                at, k = end + 1, k + 1
+        except ValueError:
+            self.chunks[chunks[k]] = b"".join(ids[at:])
+
+    def encode_all(self, texts: Iterable[str | None], at_once: int = 1 << 20) -> Iterator[bytes]:
+        """ids of each text; texts are looked up together, as many as make about ``at_once`` characters."""
+        held: list[list[bytes]] = []
+        size = 0
+        for t in texts:
+            t = t or ""
+            if PLAIN_TEXT.fullmatch(t):  # lower-casing changes no ids then, and makes fewer chunks
+                t = t.lower()
+            held.append(t.encode("utf-8", "replace").split())
+            size += len(t)
+            if size >= at_once:
+                yield from self._found(held)
+                held, size = [], 0
+        yield from self._found(held)
+
+    def _found(self, lists: list[list[bytes]]) -> Iterator[bytes]:
+        need = set().union(*lists)
+        new = need.difference(self.chunks)
+        if len(self.chunks) + len(new) > self.most_chunks:
             self.chunks.clear()
-        known = self.chunks
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+            new = need
         if new:
-            self._learn(new)
-        return b"".join([known[c] for c in chunks])
+            self._learn(list(new))
+        get = self.chunks.__getitem__
+        for chunks in lists:
+            yield b"".join(map(get, chunks))
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
