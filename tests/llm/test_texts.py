@@ -140,7 +140,8 @@ def test_huffman_round_trip(n):
 
 
 def test_token_files(odd_docs, no_docs, word_tokenizer):
-    got = huffman_ids.digests(huffman_ids.read_huffman(*huffman_ids.write_huffman(odd_docs))).collect()
+    written = huffman_ids.write_huffman(odd_docs)
+    got = huffman_ids.read_digests(*written).collect()
     want, at = [], 0
     ids = lambda t: np.array([*word_tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
     for r in sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
@@ -148,6 +149,8 @@ def test_token_files(odd_docs, no_docs, word_tokenizer):
         want.append((r.doc_id, at, len(x), zlib.crc32(x.tobytes())))
         at += len(x)
     assert by_id(got) == by_id(want)
+    read = huffman_ids.read_huffman(*written).collect()
+    assert by_id((r.doc_id, r.start, bytes(r.ids)) for r in read) == by_id((i, a, ids(t).astype("<u2").tobytes()) for (i, a, _, _), t in zip(want, [r.text for r in sorted(odd_docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))]))
     assert huffman_ids.read_huffman(*huffman_ids.write_huffman(no_docs)).count() == 0
 
 
