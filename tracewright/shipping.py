@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,17 @@ def ship(spark: SparkSession) -> None:
     sc._tracewright_shipped = True
 
 
+#: Rows that a worker holds at once; Spark's own batches can be ten times that.
+ROWS = 1000
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with the package at hand in the workers."""
+    """``df.mapInArrow(run, schema)`` with the package at hand in the workers, and in batches of ``ROWS`` rows at most."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches: Iterator) -> Iterator:
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                yield b.slice(k, ROWS)
+
+    return df.mapInArrow(lambda batches: run(sliced(batches)), schema)
