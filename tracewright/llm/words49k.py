@@ -38,7 +38,7 @@ class WordEncoder:
     hold characters that its normaliser may change or the marks of special tokens.
     """
 
-    def __init__(self, path: str, most_chunks: int = 120_000, most_words: int = 150_000):
+    def __init__(self, path: str, most_chunks: int = 250_000, most_words: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
