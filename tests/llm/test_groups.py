@@ -165,6 +165,33 @@ def test_pages(spark):
     assert html_mincut.extract(df.limit(0)).count() == 0
 
 
+LONG = "The quick brown fox jumps over the lazy dog while many other animals look on from the edge of the wood. "
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div id='page' class='no-comments'>", "<section class='legal-content'>", "<div class='sidebar-left layout'>", "<form id=aspnet>"])
+@pytest.mark.parametrize("inner", ["<article>", "<div>"])
+def test_names_of_wrappers(wrapper, inner):
+    prose_ = [f"{k}. {LONG}{LONG}".strip() for k in range(4)]
+    page = f"<body><nav><a href=/>Home</a></nav>{wrapper}{inner}{''.join(f'<p>{p}</p>' for p in prose_)}</div></article></section></form></div><div class='cookie-notice'>We use cookies. Accept them now.</div></body>"
+    assert html_mincut.main_text(page) == "\n\n".join(prose_)
+
+
+def test_names_are_weighed():
+    ps = [f"{k}. {LONG}{LONG}".strip() for k in range(6)]
+    page = "<body>" + "".join(f"<p>{p}</p>" for p in ps[:3]) + f"<div class='legal'><p>{ps[3]}</p></div><p>{ps[4]}</p><div class=sidebar><p>Short note here.</p></div><p>{ps[5]}</p></body>"
+    assert html_mincut.main_text(page) == "\n\n".join(ps)
+    cards = "".join(f"<article><h3>Read more of it {k}</h3></article>" for k in range(5))
+    page = f"<body><article><p>{ps[0]}</p><p>{ps[1]}</p></article><div class=related>{cards}</div></body>"
+    assert html_mincut.main_text(page) == "\n\n".join(ps[:2])
+
+
+def test_end_tags_of_deep_elements():
+    deep = "<div>" * 600 + "<p>deep words</p>" + "</div>" * 600
+    first, second = f"<div><article><p>{LONG}</p>{deep}<p>{LONG}</p></article></div>", f"<aside><p>{LONG}</p></aside>"
+    blocks = html_mincut.blocks_of(f"<body>{first}{second}</body>")
+    assert [(len(b.path), b.good, b.bad) for b in blocks] == [(4, True, False), (512, True, False), (4, True, False), (3, False, True)]
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_cut_is_the_cheapest(seed):
     rng = random.Random(seed)

@@ -6,6 +6,10 @@ its capacities to the two terminals. Neighbours in the page and blocks under one
 the stronger the closer they lie in the document tree. A maximum flow finds the cheapest cut; the blocks on the source's
 side are the article.
 
+Class and id names that are common for boilerplate lower a block's score, and a block with enough prose outweighs them.
+They count nothing on elements that hold the page's main text (<main>, an article that is not small beside the page's
+longest, or over half of the prose), nor where they say what a layout has or lacks ("has-sidebar").
+
 Nulls: a null page is empty; a page without content has the empty text. Markup that is broken or cut off is read as far
 as it goes. Repeated rows and null ids keep their rows. An empty table gives an empty result. Other columns are ignored.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,63 +38,106 @@ NEVER = set("head title script style noscript noembed noframes iframe template n
 BAD_NAMES = set("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login nav navbar navigation menu sidebar rail breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social comment comments commentlist respond reply replies disqus related recommended widget search form copyright legal alert skip".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_NAMES = set("article content post entry story main".split())
+#: First words of names that tell what a layout has or lacks, not what the element is.
+STATES = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "without_")
+#: Elements of NEVER that are boilerplate unless they hold the page's main text: some pages lie in one form.
+WRAPS = {"form", "fieldset"}
 
 TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|!--(?:.*?--!?>|.*+)|[!?/][^>]*+>)""", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 SENTENCE = re.compile(r"[.!?…。]['\"”’)]*\s*$")
 NAME = re.compile(r"[a-z0-9]+")
-#: Elements open at once; those nested deeper count as part of the last, as in browsers.
+#: Elements kept open at once; of those nested deeper only the names are kept, and they count as part of the last.
 DEEPEST = 512
 #: Weights of the classifier, and of the smoothness edges; capacities are whole numbers of 1 / UNIT.
-BIAS, PER_WORD, MOST_WORDS, LINKS, STOP, INSIDE, OUTSIDE, NEVER_CONTENT = -1.0, 0.08, 40, -3.0, 0.8, 4.0, -2.5, -8.0
+BIAS, PER_WORD, MOST_WORDS, LINKS, STOP, INSIDE, OUTSIDE, NAMED, NEVER_CONTENT = -1.0, 0.08, 40, -3.0, 0.8, 4.0, -2.5, -4.0, -8.0
 BY_TAG = {"p": 1.0, "blockquote": 0.8, "pre": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.4, "li": -0.5, "td": -0.3, "th": -0.3}
 NEXT, SIBLING, UNIT = 0.6, 0.5, 1000
 
 
+@dataclass(eq=False)
+class Open:
+    """An element. ``never``, ``wraps``, ``named`` and ``fine`` are its own marks (``never`` with those above it);
+    ``bad``, ``good`` and ``doubt`` are what they and the page's text come to, with what lies above."""
+
+    tag: str
+    number: int
+    above: Open | None
+    link: bool
+    never: bool = False
+    wraps: bool = False
+    named: bool = False
+    fine: bool = False
+    core: bool = False
+    chars: int = 0
+    holds: bool = False
+    bad: bool = False
+    good: bool = False
+    doubt: bool = False
+
+
 @dataclass
 class Block:
     text: str
     tag: str
     path: tuple[int, ...]
     links: float
-    bad: bool
-    good: bool
-
+    top: Open
 
-@dataclass
-class Open:
-    tag: str
-    number: int
-    bad: bool
-    good: bool
-    link: bool
+    bad = property(lambda self: self.top.bad)
+    good = property(lambda self: self.top.good)
+    doubt = property(lambda self: self.top.doubt)
 
 
-def opened(tag: str, attributes: str, number: int, above: Open | None) -> Open:
-    """An element on the stack, with what it inherits from the one above."""
-    bad, good = bool(above and above.bad), bool(above and above.good)
+def opened(tag: str, attributes: str, number: int, above: Open) -> Open:
+    """An element on the stack, with its own marks."""
     names, roles, hidden = set(), set(), False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            names.update(NAME.findall(value))
+            for word in value.split():
+                if not word.startswith(STATES):
+                    names.update(NAME.findall(word))
         elif name == "role":
             roles.update(value.split())
         elif name == "hidden":
             hidden = True
-    if tag in ("article", "main") or roles & {"main", "article"}:
-        good = True
-    elif tag not in ("html", "body"):
-        good = good or bool(names & GOOD_NAMES and not names & BAD_NAMES)
-        bad = bad or hidden or tag in NEVER or (tag == "header" and not good) or bool(names & BAD_NAMES or roles & BAD_ROLES)
-    return Open(tag, number, bad, good, tag == "a" or bool(above and above.link))
+    e = Open(tag, number, above, tag == "a" or above.link, above.never)
+    e.named = bool(names & BAD_NAMES)
+    e.core = tag in ("article", "main") or bool(roles & {"main", "article"})
+    if not e.core and tag not in ("html", "body"):
+        e.never = e.never or hidden or tag in NEVER and tag not in WRAPS
+        e.wraps = tag in WRAPS or bool(roles & BAD_ROLES)
+        e.fine = bool(names & GOOD_NAMES)
+    return e
+
+
+def settle(root: Open, elements: list[Open]) -> None:
+    """What the marks of the elements, in the order of their start tags, come to on the whole page."""
+    for e in reversed(elements):
+        if not e.never:
+            e.above.chars += e.chars
+    longest = max((e.chars for e in elements if e.core and not e.never), default=0)
+    leads = {e.number for e in elements if e.core and not e.never and (e.tag == "main" or not e.named and 4 * e.chars >= longest)}
+    for e in reversed(elements):
+        e.above.holds = e.above.holds or e.holds or e.number in leads
+    for e in elements:
+        up, free = e.above, e.holds or 2 * e.chars > root.chars
+        named = e.named and not free and not e.core and e.tag not in ("html", "body")
+        e.good = up.good or e.core or e.fine and not named
+        e.bad = up.bad or e.never or not free and (e.wraps or e.tag == "header" and not e.good)
+        e.doubt = (up.doubt or named) and e.number not in leads
 
 
 def blocks_of(page: str) -> list[Block]:
     """Non-empty text blocks in page order."""
     out: list[Block] = []
+    root = Open("", 0, None, False)
+    elements: list[Open] = []
     stack: list[Open] = []
+    deeper: list[str] = []
+    many: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
     number = at = 0
     loose = False
@@ -100,23 +147,32 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             total = sum(len(t) for t, _ in held)
             inner = next((e.tag for e in reversed(stack) if e.tag in BLOCKS), "")
-            top = stack[-1] if stack else None
             parents = tuple(e.number for e in stack if e.tag in BLOCKS)
-            out.append(Block(text, inner, parents, sum(len(t) for t, a in held if a) / total, bool(top and top.bad), bool(top and top.good)))
+            out.append(Block(text, inner, parents, sum(len(t) for t, a in held if a) / total, stack[-1] if stack else root))
         held.clear()
 
     def say(raw: str) -> None:
         if raw:
-            held.append((html.unescape(raw), bool(stack and stack[-1].link)))
+            top = stack[-1] if stack else root
+            held.append((html.unescape(raw), top.link))
+            if not top.link:
+                top.chars += len(raw.strip())
 
     def close(tags: set[str], within: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in tags:
-                if any(e.tag in BLOCKS for e in stack[k:]):
+        """Closes the innermost open element of ``tags`` and all in it, unless one of ``within`` lies between."""
+        if not any(many[t] for t in tags):
+            return
+        depth = len(stack) + len(deeper)
+        for k in range(depth - 1, -1, -1):
+            tag = stack[k].tag if k < len(stack) else deeper[k - len(stack)]
+            if tag in tags:
+                gone = [*(e.tag for e in stack[k:]), *deeper[max(k - len(stack), 0) :]]
+                if any(t in BLOCKS for t in gone):
                     flush()
-                del stack[k:]
+                many.subtract(gone)
+                del deeper[max(k - len(stack), 0) :], stack[k:]
                 return
-            if stack[k].tag in within:
+            if tag in within or within and depth - k > DEEPEST:
                 return
 
     while at < len(page):
@@ -141,7 +197,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[1]:
             if tag in BLOCKS and tag not in VOID:
-                if not any(e.tag == tag for e in stack):
+                if not many[tag]:
                     flush()
                 close({tag}, set())
             elif tag not in VOID:
@@ -161,19 +217,24 @@ def blocks_of(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        many[tag] += 1
         if len(stack) < DEEPEST:
-            stack.append(opened(tag, m[3], number, stack[-1] if stack else None))
+            stack.append(opened(tag, m[3], number, stack[-1] if stack else root))
+            elements.append(stack[-1])
+        else:
+            deeper.append(tag)
     flush()
+    settle(root, elements)
     return out
 
 
 def scores(blocks: list[Block]) -> list[float]:
     """Log-odds of content."""
-    marked = any(b.good and not b.bad for b in blocks)
+    marked = any(b.good and not b.bad and not b.doubt for b in blocks)
     out = []
     for b in blocks:
         s = BIAS + PER_WORD * min(b.text.count(" ") + 1, MOST_WORDS) + LINKS * b.links + STOP * bool(SENTENCE.search(b.text)) + BY_TAG.get(b.tag, 0.0)
-        out.append(NEVER_CONTENT if b.bad else s + (INSIDE if b.good else OUTSIDE if marked else 0.0))
+        out.append(NEVER_CONTENT if b.bad else s + NAMED * b.doubt + (INSIDE if b.good and not b.doubt else OUTSIDE if marked else 0.0))
     return out
 
 
