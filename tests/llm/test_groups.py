@@ -124,6 +124,33 @@ def test_lattice_links(spark, block, monkeypatch):
     assert lattice_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_pairs(dim, n):
+    rng = np.random.default_rng(dim)
+    a, z = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    return a, 0.9501 * a + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [2, 4, 8, 16, 24, 32, 48, 64, 100, 384])
+def test_recall_at_every_dimension(dim):
+    a, b = near_pairs(dim, 2000)
+    p, q = (lattice_dedup.Lattice(dim).cells(x) for x in (a, b))
+    met = ((p[:, :, :1] == q).any(axis=2) | (q[:, :, :1] == p).any(axis=2)).any(axis=1)
+    assert (~met).sum() <= 1
+
+
+def test_vectors_of_several_lengths(spark):
+    vectors_ = [v.tolist() for dim, n in ((8, 40), (16, 30), (24, 20)) for x in near_pairs(dim, n) for v in x] + [[1.0], [2.0]]
+    rows = [*enumerate(vectors_), (500, vectors_[-5]), (501, vectors_[-5]), (502, [0.0] * 16)]
+    got = lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if np.any(v)}
+    links = [(i, j) for i, v in unit.items() for j, w in unit.items() if i < j and len(v) == len(w) and v @ w >= 0.95]
+    assert {len(unit[i]) for i, _ in links} == {1, 8, 16, 24}
+    low = reach([i for i, _ in rows], links)
+    assert by_id((r.vec_id, r.n_links, r.component_id) for r in got) == by_id((i, sum(i in e for e in links), low[i]) for i, _ in rows)
+
+
 def test_nearest_lattice_point_by_search():
     rng = np.random.default_rng(2)
     y = rng.normal(size=(200, 8)) * 3

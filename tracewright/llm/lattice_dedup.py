@@ -7,11 +7,14 @@ that lie closest to it. Two vectors are candidates in a table if one lives where
 cell; those get the vectors, and every pair is verified by its cosine in double precision, in the first table and cell
 that has it. Equal vectors are one class throughout. Hot cells are split into blocks, and blocks meet in pairs.
 
-With the default scale, 10 tables and 8 neighbours a pair at cosine 0.95 is missed with probability below 1e-4, one
-at 0.97 below 1e-8.
+The scale follows the vectors' dimension and the threshold, so that the expected distance of a pair at the threshold is
+the same in the lattice for all: with 10 tables and 8 neighbours it is missed with probability below 1e-4 at dimensions
+from 2 on (measured at 2 to 24 on 20,000 pairs at cosine 0.95: a table has 0.65 to 0.67 of them).
 
-Nulls: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing, nor does one of
-another length than the most common one with those; rows with a null id link with nothing. Rows that repeat an id and
+Vectors of one length link among themselves: tables of different lengths are different tables.
+
+Nulls: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing, nor do vectors
+of different lengths with each other; rows with a null id link with nothing. Rows that repeat an id and
 vector count as copies. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -19,16 +22,18 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import mapped
 from .common import components, roots, runs, stored
 
-THRESHOLD, TABLES, NEIGHBOURS, SCALE = 0.95, 10, 8, 8.0
+THRESHOLD, TABLES, NEIGHBOURS = 0.95, 10, 8
 #: Signs in a sketch, and the standard deviations that its bound leaves above the expected distance at the threshold.
 SKETCH, MARGIN = 128, 6.0
 BLOCK = 2048
@@ -60,10 +65,16 @@ def minimal_vectors() -> np.ndarray:
     return np.concatenate([whole, half])
 
 
+def scale_for(dim: int, threshold: float) -> float:
+    """A projection to 8 of ``dim`` numbers keeps 8 / dim of a squared distance; that at the threshold becomes 0.8."""
+    return float(np.sqrt(max(dim, 8) * (1 - THRESHOLD) / max(1 - threshold, 1e-4)))
+
+
 class Lattice:
     """Cells of unit vectors of one dimension, in every table."""
 
-    def __init__(self, dim: int, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float = SCALE):
+    def __init__(self, dim: int, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float | None = None, threshold: float = THRESHOLD):
+        scale = scale_for(dim, threshold) if scale is None else scale
         rng = np.random.default_rng(8)
         wide = max(dim, 8)
         self.turns = [np.linalg.qr(rng.normal(size=(wide, 8)))[0][:dim] * scale for _ in range(tables)]
@@ -91,6 +102,12 @@ class Lattice:
         return np.packbits(unit @ self.signs > 0, axis=1).view(np.uint64)
 
 
+@lru_cache(maxsize=16)
+def lattice_of(dim: int, tables: int, neighbours: int, scale: float | None, threshold: float) -> Lattice:
+    """A worker's lattice of a dimension."""
+    return Lattice(dim, tables, neighbours, scale, threshold)
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length one; those so long or short that squares overflow are scaled first."""
     v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -123,29 +140,29 @@ def by_unit(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "unit").sortWithinPartitions("unit")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float = SCALE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept, class_id) of every row of ``vectors`` (vec_id, embedding)."""
     good = valid(vectors)
-    common = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common[0] if common else 1
-    good = good.where(F.size("vector") == dim)
     classes = stored(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    lattice = Lattice(dim, tables, neighbours, scale)
     angle = np.arccos(threshold) / np.pi
     far = int(np.ceil(SKETCH * angle + MARGIN * np.sqrt(SKETCH * angle * (1 - angle))))
 
+    # Tables are numbered on from dimension to dimension, so that cells hold vectors of one length.
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                unit = units(matrix(part.column(1)))
-                cells, sketch = lattice.cells(unit), lattice.sketch(unit).view(np.int64)
-                n, times = len(unit), tables * (1 + neighbours)
-                row = np.repeat(np.arange(n), times)
-                tab = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + neighbours), n)
-                home = np.tile(np.arange(1 + neighbours) == 0, n * tables)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tab), pa.array(cells.ravel()), pa.array(home), pa.array(sketch[row, 0]), pa.array(sketch[row, 1])], names=["id", "tab", "cell", "home", "s1", "s2"])
+                whole = b.slice(k, 1000)
+                length = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
+                for dim in np.unique(length).tolist():
+                    part = whole.take(pa.array(np.nonzero(length == dim)[0])) if (length != dim).any() else whole
+                    lattice, unit = lattice_of(dim, tables, neighbours, scale, threshold), units(matrix(part.column(1)))
+                    cells, sketch = lattice.cells(unit), lattice.sketch(unit).view(np.int64)
+                    n, times = len(unit), tables * (1 + neighbours)
+                    row = np.repeat(np.arange(n), times)
+                    tab = np.tile(np.repeat(np.arange(tables, dtype=np.int32) + np.int32(dim * tables), 1 + neighbours), n)
+                    home = np.tile(np.arange(1 + neighbours) == 0, n * tables)
+                    ids = part.column(0).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tab), pa.array(cells.ravel()), pa.array(home), pa.array(sketch[row, 0]), pa.array(sketch[row, 1])], names=["id", "tab", "cell", "home", "s1", "s2"])
 
     members = stored(mapped(classes.select("id", "vector"), place, "id long, tab int, cell long, home boolean, s1 long, s2 long"), "cells")
 
@@ -179,9 +196,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
             if not len(a) or not len(z):
                 continue
             ids, copies, home = (t.column(c).to_numpy() for c in ("id", "copies", "home"))
-            tab, cell = t.column("tab")[0].as_py(), t.column("cell")[0].as_py()
+            (dim, tab), cell = divmod(t.column("tab")[0].as_py(), tables), t.column("cell")[0].as_py()
             unit = units(matrix(t.column("vector")))
-            cells = lattice.cells(unit)[:, : tab + 1]
+            cells = lattice_of(dim, tables, neighbours, scale, threshold).cells(unit)[:, : tab + 1]
             links, lows, highs = np.zeros(len(ids)), [], []
             for k in range(0, len(a), 256):
                 x = a[k : k + 256]
