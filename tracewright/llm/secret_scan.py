@@ -1,10 +1,9 @@
 """Secret scans in DataFrame functions: three base patterns, and windows of high entropy in other long strings.
 
 Positions of matches come from the lengths of the matches and of the gaps between them, in code points. A candidate for
-the entropy rule is a maximal run of base-64 letters; a window of fixed width slides over it, its letter counts and the
+the entropy rule is a maximal run of base-64 letters in what base spans and allow-listed words leave; a window of fixed width slides over it, its letter counts and the
 sum of c log2 c change by one letter in and one out, and the run counts if some window's Shannon entropy reaches the
-bound of the narrowest class that the run is made of. Runs on the allow-list, and runs that meet a base span, add
-nothing.
+bound of the narrowest class that the run is made of. Runs on the allow-list add nothing.
 
 Nulls: a null text is empty; an empty text has no spans. Repeated rows and null ids keep their rows. An empty table
 gives an empty result. Other columns are kept by ``redact`` and ignored by ``scan``.
@@ -33,6 +32,9 @@ ALLOWED = (
     "(?i)example|placeholder|xxxx|0123456789|abcdefgh",
 )
 
+#: The words of the allow-list: they are no secret themselves, and what lies around them is looked at without them.
+WORDS = ("example", "placeholder", "xxxx", "0123456789", "abcdefgh")
+
 
 def at_spans(text: Column, pattern: str, kind: int, valid) -> Column:
     """Spans of all leftmost matches that ``valid`` accepts: array of (start, kind, end)."""
@@ -81,14 +83,28 @@ def suspicious(run: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(run) >= bound)
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces, as many as the letters were, in place of spans (in order of start) and allow-listed words."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        gap = F.substring(text, acc["at"] + 1, begin - acc["at"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))).alias("out"))
+
+    out = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    for word in WORDS:
+        out = F.regexp_replace(out, f"(?i){word}", " " * len(word))
+    return out
+
+
 def with_spans(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans``: arrays of (start, kind, end), in order of start, then kind."""
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
     always = lambda m: F.lit(True)
     base = F.array_sort(F.concat(at_spans(text, ASSIGN, 0, value), at_spans(text, ACCESS, 1, always), at_spans(text, HEX, 2, always)))
-    df = docs.withColumn("_base", base).withColumn("_high", at_spans(text, RUN, 3, suspicious))
-    alone = F.filter("_high", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", alone))).drop("_high")
+    df = docs.withColumn("_base", base).withColumn("_rest", F.when(text.rlike(RUN), blanked(text, F.col("_base"))).otherwise(F.lit("")))
+    return df.withColumn("_spans", F.array_sort(F.concat("_base", at_spans(F.col("_rest"), RUN, 3, suspicious)))).drop("_rest")
 
 
 def as_text(spans: str) -> Column:
