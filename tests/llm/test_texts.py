@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 
@@ -30,13 +31,27 @@ def word_tokenizer():
 
 @pytest.fixture(scope="module")
 def encoder():
-    return words49k.WordEncoder(P.path("word_bpe_49k.json"), most_chunks=50, most_words=40)
+    return words49k.WordEncoder(P.path("word_bpe_49k.json"), merged=True, most_chunks=50)
 
 
 def test_words_equal_the_library(word_tokenizer, encoder):
-    t = texts(1, 800)
-    for text, got in zip(t, encoder.encode_all(t, at_once=200)):
-        assert np.frombuffer(got, "<u2").tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids, text
+    t = texts(1, 800) + ["", "<|STARTOFTEXT|> Don't STOP we'll", "x" * 3000 + "!!" * 300, "İ K Å", "a\u2003b\x85c\x1cd"]
+    whole = words49k.WordEncoder(P.path("word_bpe_49k.json"))
+    for e in (encoder, whole):
+        got = [part.tolist() for ids, n in e.encode_column(pa.array([None, *t]).slice(1), at_once=200) for part in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [word_tokenizer.encode(text, add_special_tokens=False).ids for text in t]
+
+
+def test_words_merge_by_rank_only_where_that_is_exact(tmp_path):
+    import json
+
+    assert words49k.by_rank(P.path("word_bpe_49k.json"))
+    # "abc" is made of "ab" and "c", but "bc" comes first, so that a|bc must stay apart.
+    chars = {chr(b): b for b in range(33, 127)}
+    vocab = chars | {c + "</w>": 200 + b for c, b in chars.items()} | {"bc</w>": 400, "ab": 401, "abc</w>": 402}
+    model = {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": vocab, "merges": ["b c</w>", "a b", "ab c</w>"]}
+    (tmp_path / "t.json").write_text(json.dumps({"model": model}))
+    assert not words49k.by_rank(str(tmp_path / "t.json"))
 
 
 def by_id(rows):
@@ -133,7 +148,7 @@ def test_huffman_round_trip(n):
     rng = np.random.default_rng(n)
     ids = rng.zipf(1.5, n).clip(0, 60_000).astype(np.uint16)
     lengths = huffman_ids.code_lengths(np.bincount(ids, minlength=1 << 16))
-    data, marks = huffman_ids.encode_ids(ids, lengths, huffman_ids.canonical(lengths))
+    data, _, marks, _ = huffman_ids.encode_ids(ids, lengths, huffman_ids.canonical(lengths))
     per = np.minimum(512, n - 512 * np.arange(len(marks)))
     back = huffman_ids.decode_ids(np.frombuffer(data, np.uint8), marks.astype(np.int64), per.astype(np.int64), huffman_ids.lookup(lengths))
     assert back.tolist() == ids.tolist()

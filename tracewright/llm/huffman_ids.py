@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import mapped
 from .common import stored, whole_text
-from .words49k import tokenizer_path, word_encoder
+from .words49k import by_rank, tokenizer_path, word_encoder
 
 LIMIT, STRIDE, BLOCK_IDS, BLOCKS_AT_ONCE = 16, 512, 1 << 16, 16
 
@@ -66,17 +66,30 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, stride: int = STRIDE) -> tuple[bytes, np.ndarray]:
-    """The ids' bits, and the bit offset of every stride-th id."""
+def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, per: np.ndarray | None = None, stride: int = STRIDE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of documents of ``per`` ids each (one document without it), every document from a byte border on.
+
+    Returns the bytes, each document's bytes, the bit offsets of every stride-th id in its document, and how many of
+    those each document has.
+    """
+    per = np.array([len(ids)]) if per is None else per
     n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    start = end - n
+    end = np.concatenate([[0], np.cumsum(n)])
+    last = np.cumsum(per)
+    first = last - per
+    bits = end[last] - end[first]
+    size = bits + 7 >> 3
+    shift = (np.cumsum(size) - size) * 8 - end[first]
+    start = end[:-1] + np.repeat(shift, per)
     word = codes[ids].astype(np.int64) << (24 - (start & 7) - n)
-    size = int(end[-1] + 7 >> 3)
-    out = np.zeros(size + 2)
+    total = int(size.sum())
+    out = np.zeros(total + 2)
     for k in range(3):
-        out += np.bincount((start >> 3) + k if k else start >> 3, weights=(word >> (16 - 8 * k)) & 255, minlength=size + 2)[: size + 2]
-    return out[:size].astype(np.uint8).tobytes(), start[::stride].astype(np.int32)
+        out += np.bincount((start >> 3) + k if k else start >> 3, weights=(word >> (16 - 8 * k)) & 255, minlength=total + 2)[: total + 2]
+    marks = -(-per // stride)
+    nth = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+    at = np.repeat(first, marks) + nth * stride
+    return out[:total].astype(np.uint8).tobytes(), size, (end[at] - np.repeat(end[first], marks)).astype(np.int32), marks
 
 
 def lookup(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +119,23 @@ def decode_ids(data: np.ndarray, at: np.ndarray, n: np.ndarray, table: tuple[np.
     return out
 
 
+def binaries(data: np.ndarray | bytes, sizes: np.ndarray) -> pa.Array:
+    """A binary column of consecutive stretches of ``data``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """(doc_id, ids): every whole text's ids as little-endian 16-bit bytes, the end id last."""
+    merged = by_rank(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
+        encoder = word_encoder(tokenizer, merged)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids + end for ids in encode(t.as_py() for t in b.column(1))], pa.binary())], names=["doc_id", "ids"])
+            at = 0
+            for ids, n in encoder.encode_column(b.column(1)):
+                data = np.insert(ids, np.cumsum(n), end_id).astype("<u2")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), binaries(data, 2 * (n + 1))], names=["doc_id", "ids"])
+                at += len(n)
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, ids binary")
 
@@ -150,16 +173,13 @@ def write_huffman(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lens, codes = code.value
         for b in batches:
-            bits, marks, n = [], [], []
-            for x in b.column(1):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                got, at = encode_ids(ids, lens, codes)
-                bits.append(got)
-                marks.append(at)
-                n.append(len(ids))
+            if not b.num_rows:
+                continue
+            n = pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+            bits, size, at, marks = encode_ids(np.frombuffer(b"".join(x.as_buffer() for x in b.column(1)), "<u2"), lens, codes, n)
             doc = b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, marks)]).astype(np.int32), pa.array(np.concatenate(marks) if marks else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, doc, side="left"), pa.int32()), b.column(0), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), lists], names=["range", "doc_id", "n", "bits", "marks"])
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(marks)]).astype(np.int32), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, doc, side="left"), pa.int32()), b.column(0), pa.array(n, pa.int32()), binaries(bits, size), lists], names=["range", "doc_id", "n", "bits", "marks"])
 
     coded = mapped(tokens, encode, "range int, doc_id long, n int, bits binary, marks array<int>")
 
@@ -189,7 +209,7 @@ def write_huffman(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
         if held:
             yield flush()
 
-    blocks = mapped(coded.repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "n", "bits"), block, BLOCK)
+    blocks = mapped(coded.repartitionById(ranges, "range").sortWithinPartitions("range", "doc_id", "n", "bits"), block, BLOCK)
     lens = spark.createDataFrame([(int(i), int(lengths[i])) for i in np.nonzero(lengths)[0]], "id int, bits int")
     return stored(blocks, "huffman", "uncompressed"), stored(lens.coalesce(1), "huffman-code")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import mapped
 from .common import stored, whole_text
-from .words49k import tokenizer_path, word_encoder
+from .words49k import by_rank, tokenizer_path, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
@@ -32,22 +32,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1) -> DataFrame:
     """Token pieces of every whole text, each with its rank among its partition's pieces of that length."""
 
+    merged = by_rank(tokenizer)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = word_encoder(tokenizer).encode_all, TaskContext.get().partitionId(), {}
-        end = np.array([end_id], "<u2").tobytes()
+        encoder, part, seen = word_encoder(tokenizer, merged), TaskContext.get().partitionId(), {}
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"]
         for batch in batches:
-            rows = []
-            for doc, got in zip(batch.column(0).to_pylist(), encode(t.as_py() for t in batch.column(1))):
-                ids = np.frombuffer(got + end, "<u2")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity].astype("<u4")
-                    n = len(own)
-                    rank = seen[n] = seen.get(n, -1) + 1
-                    rows.append((doc, k, at, n, zlib.crc32(own.tobytes()), part, rank))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(names))
+            docs = iter(batch.column(0).to_pylist())
+            for ids, per in encoder.encode_column(batch.column(1)):
+                data = np.insert(ids, np.cumsum(per), end_id).astype("<u4")
+                rows, begin = [], 0
+                for m in (per + 1).tolist():
+                    doc = next(docs)
+                    for k, at in enumerate(range(0, m, capacity)):
+                        n = min(capacity, m - at)
+                        rank = seen[n] = seen.get(n, -1) + 1
+                        rows.append((doc, k, at, n, zlib.crc32(data[begin + at : begin + at + n]), part, rank))
+                    begin += m
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), cut, PIECES)
 
