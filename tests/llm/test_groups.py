@@ -74,14 +74,14 @@ def copies():
 @pytest.mark.parametrize("block", [lsh_forest.BLOCK_SHINGLES, 400])
 def test_jaccard_join(spark, copies, odd_docs, block, monkeypatch):
     monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", block)
-    docs = copies + [(1000 + r.doc_id if r.doc_id is not None else None, r.text) for r in odd_docs.collect() if r.doc_id != 7]
+    docs = copies + [(1000 + r.doc_id if r.doc_id is not None else None, r.text) for r in odd_docs.collect()]
     got = lsh_forest.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert by_id((r.doc_id, r.n_links, r.component_id) for r in got) == jaccard_by_brute_force(docs)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
 def test_forest_prefix_and_empty_table(no_docs, odd_docs):
-    d = lsh_forest.prefix_length(0.8, 24, 8, 0.9995)
+    d = lsh_forest.shortest(0.8, 24, 8, 0.9995)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 24
     assert lsh_forest.jaccard_join(no_docs).count() == 0
     kept = lsh_forest.keep_one(odd_docs)
@@ -89,6 +89,38 @@ def test_forest_prefix_and_empty_table(no_docs, odd_docs):
     assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7, 8, None, 9, 10, 12}
 
 
+def near_texts(n, share, seed=3):
+    """Pairs of texts of 200 words whose sets of shingles have about that similarity."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        cut = round(200 * (1 - share) / (1 + share))  # a run of new words at the end changes as many shingles
+        out += [" ".join(a), " ".join(a[: len(a) - cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)])]
+    return out
+
+
+def test_forest_shortens_prefixes_until_the_recall_is_met(spark):
+    def reached(share, n):
+        texts = near_texts(n, share)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        every = lsh_forest.profiles(docs, 24, 8)
+        classes = common.stored(every.select(F.col("doc_id").alias("cid"), F.col("doc_id").alias("id"), "text_key", "fp1", "fp2", F.lit(1).cast("long").alias("copies"), "n_marks", "signature"), "t")
+        links, prefix = lsh_forest.all_links(docs, classes, 0.8, 24, 8, 0.9995)
+        return prefix, links.count() / (2 * n)
+
+    assert reached(0.97, 150) == (8, 1.0)  # full paths find them all
+    prefix, recall = reached(0.81, 150)
+    assert prefix in (5, 6) and recall >= 0.99
+    assert lsh_forest.estimated_recall(np.zeros(40), 0.8, 24, 8) == 0.0
+
+
+def test_similarity_of_signatures():
+    rng = np.random.default_rng(2)
+    marks = np.unique(lsh_forest.mix(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)))
+    a, b = (np.frombuffer(lsh_forest.signature(m, 24, 8), "<u2") for m in (marks[:900], marks[100:]))
+    assert abs((a == b).mean() - 0.8) < 0.1
+
+
 def vectors(seed=1, dim=64):
     rng = np.random.default_rng(seed)
     rows = []

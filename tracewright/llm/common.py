@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -34,15 +35,40 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """``df`` written once to a table in the shared folder and read back: its lineage ends there.
 
-    The files go when the session's JVM ends.
+    The files go by ``released`` or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewright/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete the table of a frame that ``stored`` gave and that nothing reads any more."""
+    where, files = _files(df.sparkSession, df.stored_at)
+    files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def parts_of(df: DataFrame) -> int:
+    """Tasks for work that grows with ``df``: its partitions, or the session's number for shuffles if that is larger."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, or that with underscores before it, so that no column of ``taken`` has it in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 def whole_text(col: str = "text") -> Column:
@@ -69,7 +95,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        was, e = e, stored(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        released(was)
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("vertex"), "component").union(
@@ -92,25 +119,33 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return low
 
 
-def in_units(members: DataFrame, bucket: list[str], most: float) -> DataFrame:
+#: Weight of a bucket that is never split for balance alone.
+SMALL = 8000.0
+
+
+def in_units(members: DataFrame, id: str, bucket: list[str], most: float, parts: int, part: str) -> DataFrame:
     """Members of each bucket dealt to verification units of two blocks at most.
 
-    ``members`` has ``id``, ``weight`` and the ``bucket`` columns. A bucket over ``most`` is split by a hash of the id
-    into blocks of about that weight; every pair of its blocks makes a unit, so that all pairs of a bucket meet in
-    exactly one unit (pairs inside block b in unit (b, b)) and no task holds a whole hot bucket. Buckets of one member
-    go, and so does a bucket that has exactly the members of another (the first of such buckets stays).
-    Returns the members' columns and ``unit``, ``block``, ``b1``, ``b2``.
+    ``members`` has the ``id``, ``weight``, the ``bucket`` columns and ``part``, a finer bucket whose pairs are done. A
+    bucket over ``most``, or over a fair share of all weights for one of ``parts`` tasks, is split by a hash of the id
+    into blocks; every pair of its blocks makes a unit, so that all pairs of a bucket meet in exactly one unit (pairs
+    inside block b in unit (b, b)) and no task holds a whole hot bucket. For balance a bucket is split into so many
+    blocks at most that it has a unit for each task. Buckets of one member or one ``part`` go, and so does a bucket that
+    has exactly the members of another (the first of such buckets stays).
+    Returns the id, the bucket and ``unit``, ``block``, ``b1``, ``b2``.
     """
     order = F.struct(*bucket)
     size = members.groupBy(*bucket).agg(
-        F.count("*").alias("n_in"), F.sum("weight").alias("w_in"),
-        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("set1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("set2"),
+        F.count("*").alias("n_in"), F.sum("weight").alias("w_in"), (F.min(part) != F.max(part)).alias("new"),
+        F.bit_xor(F.xxhash64(id, F.lit(1))).alias("set1"), F.bit_xor(F.xxhash64(id, F.lit(2))).alias("set2"),
     ).where("n_in > 1")
-    size = size.groupBy("n_in", "w_in", "set1", "set2").agg(F.min(order).alias("_b")).select("_b.*", F.ceil(F.col("w_in") / F.lit(float(most))).cast("int").alias("blocks"))
-    m = members.join(size, bucket).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    size = stored(size.groupBy("n_in", "w_in", "set1", "set2").agg(F.min(order).alias("_b"), F.min("new").alias("new")).where("new").select("_b.*", "w_in"), "buckets")
+    fair = max(SMALL, float(size.agg(F.sum("w_in")).first()[0] or 0) / parts)
+    blocks = F.greatest(F.ceil(F.col("w_in") / F.lit(float(most))), F.least(F.ceil(F.col("w_in") / F.lit(fair)), F.lit(math.ceil(math.sqrt(2 * parts)))))
+    m = members.select(id, *bucket).join(size.select(*bucket, blocks.cast("int").alias("blocks")), bucket).withColumn("block", F.pmod(F.xxhash64(id, F.lit(3)), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return m.select(*members.columns, low.alias("b1"), high.alias("b2"), "block", F.xxhash64(*bucket, low, high).alias("unit"))
+    return m.select(id, *bucket, low.alias("b1"), high.alias("b2"), "block", F.xxhash64(*bucket, low, high).alias("unit"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -137,27 +172,3 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def key_filter(keys: DataFrame, column: str, bits: int, hashes: int = 4) -> np.ndarray:
-    """Bloom filter of a long column's values, in ``bits`` / 64 words however many values there are."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = filter_places(b.column(0).to_numpy(zero_copy_only=False), bits, hashes).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["word", "bit"])
-
-    out = np.zeros(bits // 64, np.uint64)
-    rows = mapped(keys.select(column), words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
-    out[rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def filter_places(keys: np.ndarray, bits: int, hashes: int = 4) -> np.ndarray:
-    k = np.ascontiguousarray(keys, np.int64).view(np.uint64)
-    return np.stack([mix(k + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) % np.uint64(bits) for i in range(hashes)]).astype(np.int64)
-
-
-def may_hold(words: np.ndarray, keys: np.ndarray, hashes: int = 4) -> np.ndarray:
-    at = filter_places(keys, len(words) * 64, hashes)
-    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0)
