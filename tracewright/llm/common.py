@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -119,6 +118,11 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return low
 
 
+def block_count(weight: Column, most: float, fair: float) -> Column:
+    """Blocks of at most ``most`` of a bucket, or so many that their pairs are as many as fair shares of its weight."""
+    return F.greatest(F.ceil(weight / F.lit(float(most))), F.ceil(F.sqrt(F.lit(2.0) * F.greatest(weight / F.lit(float(fair)) - 1, F.lit(0.0)) + 0.25) - 0.5), F.lit(1))
+
+
 #: Weight of a bucket that is never split for balance alone.
 SMALL = 8000.0
 
@@ -129,9 +133,9 @@ def in_units(members: DataFrame, id: str, bucket: list[str], most: float, parts:
     ``members`` has the ``id``, ``weight``, the ``bucket`` columns and ``part``, a finer bucket whose pairs are done. A
     bucket over ``most``, or over a fair share of all weights for one of ``parts`` tasks, is split by a hash of the id
     into blocks; every pair of its blocks makes a unit, so that all pairs of a bucket meet in exactly one unit (pairs
-    inside block b in unit (b, b)) and no task holds a whole hot bucket. For balance a bucket is split into so many
-    blocks at most that it has a unit for each task. Buckets of one member or one ``part`` go, and so does a bucket that
-    has exactly the members of another (the first of such buckets stays).
+    inside block b in unit (b, b)) and no task holds a whole hot bucket. For balance a bucket gets as many units as
+    tasks would have its share of the weights. Buckets of one member or one ``part`` go, and so does a bucket that has
+    exactly the members of another (the first of such buckets stays).
     Returns the id, the bucket and ``unit``, ``block``, ``b1``, ``b2``.
     """
     order = F.struct(*bucket)
@@ -141,13 +145,25 @@ def in_units(members: DataFrame, id: str, bucket: list[str], most: float, parts:
     ).where("n_in > 1")
     size = stored(size.groupBy("n_in", "w_in", "set1", "set2").agg(F.min(order).alias("_b"), F.min("new").alias("new")).where("new").select("_b.*", "w_in"), "buckets")
     fair = max(SMALL, float(size.agg(F.sum("w_in")).first()[0] or 0) / parts)
-    blocks = F.greatest(F.ceil(F.col("w_in") / F.lit(float(most))), F.least(F.ceil(F.col("w_in") / F.lit(fair)), F.lit(math.ceil(math.sqrt(2 * parts)))))
+    blocks = block_count(F.col("w_in"), most, fair)
     m = members.select(id, *bucket).join(size.select(*bucket, blocks.cast("int").alias("blocks")), bucket).withColumn("block", F.pmod(F.xxhash64(id, F.lit(3)), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return m.select(id, *bucket, low.alias("b1"), high.alias("b2"), "block", F.xxhash64(*bucket, low, high).alias("unit"))
 
 
+def popular_join(left: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """Inner join of ``left`` with the one row that ``right`` has for each key.
+
+    Keys that one in ``most`` rows of ``left`` or more have, so ``most`` keys at most, are joined by broadcast: no task
+    gathers a popular key.
+    """
+    least = max(100, left.count() / most)
+    hot = stored(left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(key).coalesce(1), "popular")
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return left.join(F.broadcast(right.join(F.broadcast(hot), key)), key).select(*rest.columns).union(rest)
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
     """Tables of consecutive rows with equal ``column``, whatever the batches' borders."""
     held: list[pa.RecordBatch] = []
