@@ -15,7 +15,8 @@ Vectors of one length link among themselves: tables of different lengths are dif
 
 Nulls: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing, nor do vectors
 of different lengths with each other; rows with a null id link with nothing. Rows that repeat an id and
-vector count as copies. An empty table gives an empty result. Other columns are ignored.
+vector count as copies; rows that repeat an id with another vector have each their own links. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import mapped
-from .common import components, roots, runs, stored
+from .common import block_count, components, parts_of, popular_join, released, roots, runs, stored
 
 THRESHOLD, TABLES, NEIGHBOURS = 0.95, 10, 8
 #: Signs in a sketch, and the standard deviations that its bound leaves above the expected distance at the threshold.
 SKETCH, MARGIN = 128, 6.0
-BLOCK = 2048
+#: Members of a cell's block, and of a cell that is never split for balance alone.
+BLOCK, SMALL = 2048, 100
 
 
 def nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -126,24 +128,33 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def dealt(members: DataFrame, extra: list[str], most: int = BLOCK) -> DataFrame:
-    """Members (id, tab, cell, home, ...) of cells with a resident and a second member, in units of two blocks."""
+def dealt(members: DataFrame, extra: list[str], parts: int) -> DataFrame:
+    """Members (id, tab, cell, home, ...) of cells with a resident and a second member, in units of two blocks.
+
+    A cell over BLOCK, or over a fair share of all members for one of ``parts`` tasks, is split into blocks; for balance
+    alone into so many that it has as many units as tasks would have its share of the members.
+    """
     size = members.groupBy("tab", "cell").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("n > 1 and lived")
-    m = members.join(size.select("tab", "cell", F.ceil(F.col("n") / most).cast("int").alias("blocks")), ["tab", "cell"])
+    size = stored(size.select("tab", "cell", "n"), "sizes")
+    fair = max(SMALL, (size.agg(F.sum("n")).first()[0] or 0) / parts)
+    blocks = block_count(F.col("n"), BLOCK, fair).cast("int")
+    m = members.join(size.select("tab", "cell", blocks.alias("blocks")), ["tab", "cell"])
     m = m.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return m.select("id", "tab", "cell", "home", *extra, "block", low.alias("b1"), high.alias("b2"), F.xxhash64("tab", "cell", low, high).alias("unit"))
 
 
-def by_unit(df: DataFrame) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def by_unit(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts, "unit").sortWithinPartitions("unit")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, neighbours: int = NEIGHBOURS, scale: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept, class_id) of every row of ``vectors`` (vec_id, embedding)."""
     good = valid(vectors)
-    classes = stored(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+    # Classes have ids of their own, as rows may share a vec_id and differ in the vector.
+    classes = good.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "vector", "first", "copies"), "vectors")
+    parts = parts_of(vectors)
     angle = np.arccos(threshold) / np.pi
     far = int(np.ceil(SKETCH * angle + MARGIN * np.sqrt(SKETCH * angle * (1 - angle))))
 
@@ -186,9 +197,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
             for b in keep.select(["id", "tab", "cell", "home"]).to_batches():
                 yield b
 
-    some = mapped(by_unit(dealt(members, ["s1", "s2"])), possible, "id long, tab int, cell long, home boolean").distinct()
+    some = mapped(by_unit(dealt(members, ["s1", "s2"], parts), parts), possible, "id long, tab int, cell long, home boolean").distinct()
     candidates = stored(some, "members")
-    full = dealt(candidates, []).join(classes.select("id", "copies", "vector"), "id")
+    released(members)
+    full = dealt(candidates, [], parts).join(classes.select("id", "copies", "vector"), "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "unit"):
@@ -227,17 +239,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
             has = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has].astype(np.int64)), pa.array(root[has])], names=["id", "links", "root"])
 
-    links = stored(mapped(by_unit(full), verify, "id long, links long, root long"), "links")
+    links = stored(mapped(by_unit(full, parts), verify, "id long, links long, root long"), "links")
     total = links.groupBy("id").agg(F.sum("links").alias("links"))
-    group = components(links, "id", "root").withColumnRenamed("vertex", "id")
+    group = components(links, "id", "root").join(classes.select(F.col("id").alias("vertex"), "first"), "vertex")
+    lowest = group.groupBy("component").agg(F.min("first").alias("component_id"))
+    group = group.join(lowest, "component").select(F.col("vertex").alias("id"), "component_id")
     named = classes.join(total, "id", "left").join(group, "id", "left").select(
-        "vector", F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
+        "vector", F.col("first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")
     )
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    # Classes that are alone have the row's own values; the others are few columns, joined by id.
-    member = good.join(named.where("n_links > 0"), "vector").select("vec_id", "class_id", "n_links", "component_id").distinct()
+    # Classes that are alone have the row's own values; the others are few columns, joined by id and a hash of the vector.
+    named = stored(named.where("n_links > 0"), "named")
+    member = popular_join(good.select("vec_id", F.xxhash64("vector").alias("key"), "vector"), named, "vector").select("vec_id", "key", "class_id", "n_links", "component_id").distinct()
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.col("embedding").cast("array<double>")).alias("key"))
     own = F.col("vec_id")
-    return every.join(member, "vec_id", "left").select(
+    return every.join(member, ["vec_id", "key"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", own).alias("component_id"),
         F.coalesce(own == F.coalesce("component_id", own), F.lit(True)).alias("kept"), F.coalesce("class_id", own).alias("class_id"),
     )
