@@ -10,27 +10,29 @@ are fewer), one stretch of ``STRETCH`` characters of each, chosen by hashes. Nul
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; so is every text if no row can be learned from.
 Repeated rows and null ids keep their rows; ties go to the language that sorts first. An empty table gives an empty
-result. Other columns are kept as they are by ``predict``.
+result. Other columns are kept as they are by ``predict``, but for those that have the names of its own two, in any case:
+they give way.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import mapped
+from .common import fresh
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4, 5), 10
 PER_LANGUAGE, STRETCH, EPOCHS, BATCH, RATE = 400, 2000, 6, 64, 0.01
 FOLDS = 5
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes that are scored at once.
 AT_ONCE = 2048
 
@@ -192,6 +194,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteCnn:
 
 def predict(docs: DataFrame, model: ByteCnn, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score, from the text alone."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (pred.lower(), score.lower())])
     known, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
@@ -211,4 +214,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without those of no language, or of none with a score of ``least``."""
-    return predict(docs, learn(docs), "_pred", "_score").where((F.col("_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    return predict(docs, learn(docs), pred, score).where((F.col(pred) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
