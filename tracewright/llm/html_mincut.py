@@ -1,11 +1,15 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page's text falls into blocks at the borders of block-level elements. A linear classifier of each block (words, share
-of link text, sentence ends, element, what it lies in) gives the costs of calling it content or boilerplate; they are
-its capacities to the two terminals. Neighbours in the page and blocks under one parent are tied by smoothness edges,
+A page's text falls into blocks at the borders of block-level elements. A logistic classifier of each block (words of it
+and its neighbours, share of link text, sentence ends, element, place, depth, names) gives the costs of calling it
+content or boilerplate; with what the page's elements say of it they are its capacities to the two terminals. Neighbours in the page and blocks under one parent are tied by smoothness edges,
 the stronger the closer they lie in the document tree. A maximum flow finds the cheapest cut; the blocks on the source's
 side are the article.
 
+The classifier is fitted to pages that mark their article by an element: their blocks inside and outside are the two
+classes, and that mark is no feature. The sample is bounded (``FIT_PAGES`` pages, by a hash of the url and the html's
+length); without such pages hand-set weights stand in.
+
 Class and id names that are common for boilerplate lower a block's score, and a block with enough prose outweighs them.
 They count nothing on elements that hold the page's main text (<main>, an article that is not small beside the page's
 longest, or over half of the prose), nor where they say what a layout has or lacks ("has-sidebar").
@@ -23,6 +27,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +55,16 @@ SENTENCE = re.compile(r"[.!?…。]['\"”’)]*\s*$")
 NAME = re.compile(r"[a-z0-9]+")
 #: Elements kept open at once; of those nested deeper only the names are kept, and they count as part of the last.
 DEEPEST = 512
-#: Weights of the classifier, and of the smoothness edges; capacities are whole numbers of 1 / UNIT.
-BIAS, PER_WORD, MOST_WORDS, LINKS, STOP, INSIDE, OUTSIDE, NAMED, NEVER_CONTENT = -1.0, 0.08, 40, -3.0, 0.8, 4.0, -2.5, -4.0, -8.0
-BY_TAG = {"p": 1.0, "blockquote": 0.8, "pre": 0.8, "h1": 0.6, "h2": 0.4, "h3": 0.4, "li": -0.5, "td": -0.3, "th": -0.3}
-NEXT, SIBLING, UNIT = 0.6, 0.5, 1000
+#: What elements say of a block, in log-odds, and the weights of the smoothness edges; capacities are whole 1 / UNITths.
+INSIDE, OUTSIDE, NEVER_CONTENT = 4.0, -2.5, -8.0
+NEXT, SIBLING, UNIT = 1.0, 0.8, 1000
+#: Pages that the classifier is fitted to at most, those that have to be there, its ridge penalty and its widest score.
+FIT_PAGES, LEAST_PAGES, PENALTY, WIDEST = 300, 20, 1.0, 4.0
+MOST_WORDS = 40
+KINDS = {"p": "text", "blockquote": "quote", "pre": "quote", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell"}
+FEATURES = ("one", "words", "before", "after", "links", "stop", "named", "place", "depth", "text", "quote", "heading", "item", "cell")
+#: Weights by feature where no page can be learned from.
+BY_HAND = np.array([-1.0, 3.2, 0.0, 0.0, -3.0, 0.8, -4.0, 0.0, 0.0, 1.0, 0.8, 0.5, -0.5, -0.3])
 
 
 @dataclass(eq=False)
@@ -70,6 +81,7 @@ class Open:
     named: bool = False
     fine: bool = False
     core: bool = False
+    marked: bool = False
     chars: int = 0
     holds: bool = False
     bad: bool = False
@@ -105,6 +117,7 @@ def opened(tag: str, attributes: str, number: int, above: Open) -> Open:
             hidden = True
     e = Open(tag, number, above, tag == "a" or above.link, above.never)
     e.named = bool(names & BAD_NAMES)
+    e.marked = above.marked or tag in ("article", "main")
     e.core = tag in ("article", "main") or bool(roles & {"main", "article"})
     if not e.core and tag not in ("html", "body"):
         e.never = e.never or hidden or tag in NEVER and tag not in WRAPS
@@ -228,14 +241,51 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def scores(blocks: list[Block]) -> list[float]:
+def features(blocks: list[Block]) -> np.ndarray:
+    """Blocks x FEATURES, each about 0 to 1; the elements' own word on content is none of them."""
+    n = len(blocks)
+    words = np.array([min(b.text.count(" ") + 1, MOST_WORDS) for b in blocks]) / MOST_WORDS
+    kinds = np.array([[KINDS.get(b.tag) == k for k in FEATURES[9:]] for b in blocks], float).reshape(n, -1)
+    rest = [[b.links, bool(SENTENCE.search(b.text)), b.doubt, k / max(n - 1, 1), min(len(b.path), 20) / 20] for k, b in enumerate(blocks)]
+    return np.column_stack([np.ones(n), words, np.append(0.0, words[:-1]), np.append(words[1:], 0.0), np.array(rest, float).reshape(n, -1), kinds])
+
+
+def fitted(pages: list[str]) -> np.ndarray | None:
+    """Weights from pages that mark their article and have text outside it; None if those are too few."""
+    x, y, used = [], [], 0
+    for page in pages:
+        blocks = blocks_of(page)
+        inside = [b.top.marked for b in blocks]
+        if any(inside) and not all(inside):
+            x.append(features(blocks))
+            y += inside
+            used += 1
+    if used < LEAST_PAGES:
+        return None
+    x, y = np.concatenate(x), np.array(y, float)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w, ridge = np.zeros(x.shape[1]), PENALTY * np.eye(x.shape[1])
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - PENALTY * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def learn(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
+    """Weights for a table of pages, from ``most`` of them at most."""
+    marked = pages.select(F.col("html"), F.xxhash64(F.col("url").cast("string"), F.length("html")).alias("h")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    got = fitted([r[0] for r in marked.orderBy("h", "html").limit(most).select("html").collect()])
+    return BY_HAND if got is None else got
+
+
+def scores(blocks: list[Block], weights: np.ndarray = BY_HAND) -> list[float]:
     """Log-odds of content."""
     marked = any(b.good and not b.bad and not b.doubt for b in blocks)
-    out = []
-    for b in blocks:
-        s = BIAS + PER_WORD * min(b.text.count(" ") + 1, MOST_WORDS) + LINKS * b.links + STOP * bool(SENTENCE.search(b.text)) + BY_TAG.get(b.tag, 0.0)
-        out.append(NEVER_CONTENT if b.bad else s + NAMED * b.doubt + (INSIDE if b.good and not b.doubt else OUTSIDE if marked else 0.0))
-    return out
+    own = np.clip(features(blocks) @ weights, -WIDEST, WIDEST)
+    return [NEVER_CONTENT if b.bad else s + (INSIDE if b.good and not b.doubt else OUTSIDE if marked else 0.0) for b, s in zip(blocks, own.tolist())]
 
 
 def edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
@@ -316,21 +366,26 @@ def source_side(to_source: list[int], to_sink: list[int], ties: list[tuple[int,
                 break
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: np.ndarray = BY_HAND) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    cost = [(round(UNIT * math.log1p(math.exp(s))), round(UNIT * math.log1p(math.exp(-s)))) for s in scores(blocks)]
-    content = source_side([c for c, _ in cost], [c for _, c in cost], edges(blocks))
-    return "\n\n".join(b.text for b, yes in zip(blocks, content) if yes)
+    return "\n\n".join(b.text for b, yes in zip(blocks, content(blocks, weights)) if yes)
+
+
+def content(blocks: list[Block], weights: np.ndarray = BY_HAND) -> list[bool]:
+    """Which blocks the minimum cut leaves on the side of content."""
+    cost = [(round(UNIT * math.log1p(math.exp(s))), round(UNIT * math.log1p(math.exp(-s)))) for s in scores(blocks, weights)]
+    return source_side([c for c, _ in cost], [c for _, c in cost], edges(blocks))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; without ``weights`` they are learned from the pages."""
+    weights = learn(pages) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h.as_py()) for h in b.column(2)]
+            texts = [main_text(h.as_py(), weights) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return mapped(pages.select("page_id", "url", F.col("html")), run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
