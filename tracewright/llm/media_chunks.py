@@ -1,11 +1,13 @@
 """Payload columns in content-defined chunks: stored once by digest, rebuilt from ordered chunk lists, verified.
 
 A text's payload is its UTF-8 bytes and zero bytes up to a positive multiple of 64. Rolling gear hashes cut it into
-chunks. Digests are counted over the corpus; a chunk that occurs more than once is shared and kept once in a table of
-chunks, any other stays in its document's row, so that most bytes never move. Which digests are shared is told to the
-tasks by a Bloom filter of fixed size: a chunk taken for shared by mistake is only kept in the other table. Reading
-joins the chunk lists with the shared chunks, rebuilds each distinct payload once, checks every chunk's digest and
-computes features of the bytes.
+chunks. Its stored form is a chunk list (``CDC1``, the number of chunks, digest and size of each) and the chunks.
+Digests are counted over the corpus; a chunk that occurs more than once is shared and kept once in a table of chunks,
+any other stays in its document's row beside the list, so that most bytes never move. Which digests are shared is told
+to the tasks by a Bloom filter of their number's size, ``MOST_BITS`` at most: a chunk taken for shared by mistake is
+only kept in the other table, so that beyond the bound more bytes move but no result changes. Reading joins the chunk
+lists with the shared chunks, rebuilds each distinct payload once, checks every chunk's digest and computes features of
+the bytes. Chunks and payloads that very many rows have are joined by broadcast, of 1000 at most.
 
 Nulls: a null text is empty and has 64 zero bytes. Repeated rows and null ids keep their rows; equal texts get equal
 values. An empty table gives an empty result. Other columns are ignored.
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import mapped
-from .common import stored, whole_text
+from .common import popular_join, stored, whole_text
 
 UNIT, LEAST, MOST, CUT_BITS = 64, 512, 8192, 11
-FILTER_BITS, FILTER_HASHES = 1 << 25, 4
+#: Bits of the filter for each shared digest, and at most and at least in all.
+PER_KEY, MOST_BITS, LEAST_BITS = 16, 1 << 27, 1 << 16
+MAGIC = b"CDC1"
 #: The gear table by a rule: Weyl steps through a multiplicative mixer.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(29))) >> np.uint64(31)).astype(np.uint32)
 
@@ -77,15 +81,27 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def shared_filter(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bloom filter of the digests that occur more than once; ``bits`` / 64 words at most reach the driver."""
+def chunk_list(found: list[tuple[bytes, bytes]]) -> bytes:
+    return MAGIC + struct.pack("<I", len(found)) + b"".join(d + struct.pack("<I", len(c)) for d, c in found)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def listed(record: bytes) -> list[tuple[bytes, int]]:
+    """(digest, size) of a chunk list's chunks."""
+    if record[: len(MAGIC)] != MAGIC or len(record) < 8 or len(record) != 8 + 20 * struct.unpack_from("<I", record, 4)[0]:
+        raise ValueError("no chunk list")
+    return list(struct.iter_unpack("<16sI", record[8:]))
+
+
+def shared_filter(docs: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Bloom filter of the digests that occur more than once; ``most_bits`` / 64 words at most reach the driver."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [d for t in b.column(1) for d, _ in chunks(payload(t.as_py())[1])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
 
-    often = mapped(_texts(docs), listed, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    often = stored(mapped(_texts(docs), digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
+    bits = min(most_bits, max(LEAST_BITS, 1 << (PER_KEY * often.count()).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,63 +109,57 @@ def shared_filter(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["word", "bit"])
 
     out = np.zeros(bits // 64, np.uint64)
-    rows = mapped(often.select("digest"), words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
+    rows = mapped(often, words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
     out[rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
     return out
 
 
-DOC = "row_id long, doc_id long, n_bytes long, list_key binary, digests array<binary>, sizes array<int>, shared array<boolean>, n_shared int, own binary"
+DOC = "row_id long, doc_id long, n_bytes long, list_key binary, list binary, shared array<boolean>, n_shared int, own binary, digest binary, chunk binary"
 
 
-def write_media(docs: DataFrame, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def write_media(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """Store the payloads and return what was written: (chunk lists with own chunks, shared chunks)."""
-    words = docs.sparkSession.sparkContext.broadcast(shared_filter(docs, filter_bits))
+    words = docs.sparkSession.sparkContext.broadcast(shared_filter(docs, most_bits))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, part, n = words.value, TaskContext.get().partitionId(), 0
+        """Rows of documents, and rows of shared chunks that this task has not sent yet."""
+        w, part, n, sent = words.value, TaskContext.get().partitionId(), 0, set()
         names = [f.split()[0] for f in DOC.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 size, data = payload(text.as_py())
                 got = chunks(data)
                 flags = [in_filter(w, d) for d, _ in got]
-                rows.append((part << 40 | n, doc, size, digest(struct.pack("<q", size) + b"".join(d for d, _ in got)), [d for d, _ in got], [len(c) for _, c in got], flags, sum(flags), b"".join(c for (_, c), f in zip(got, flags) if not f)))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), kinds)], names=names)
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, sent = words.value, set()
-        for b in batches:
-            found = {}
-            for text in b.column(1):
-                for d, c in chunks(payload(text.as_py())[1]):
-                    if d not in sent and in_filter(w, d):
-                        found[d] = c
+                record = chunk_list(got)
+                rows.append((part << 40 | n, doc, size, digest(struct.pack("<q", size) + record), record, flags, sum(flags), b"".join(c for (_, c), f in zip(got, flags) if not f), None, None))
+                for (d, c), f in zip(got, flags):
+                    if f and d not in sent:
                         sent.add(d)
+                        rows.append((*[None] * 8, d, c))
+                n += 1
             if len(sent) > 1_000_000:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), kinds)], names=names)
 
-    documents = stored(mapped(_texts(docs), lists, DOC), "media")
-    shared = stored(mapped(_texts(docs), common, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks")
-    return documents, shared
+    both = stored(mapped(_texts(docs), lists, DOC), "media")
+    shared = stored(both.where("digest is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks")
+    return both.where("row_id is not null").drop("digest", "chunk"), shared
 
 
 MEDIA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(digests: list[bytes], sizes: list[int], parts: list[bytes]) -> tuple:
-    """Values of a rebuilt payload; raises if a chunk isn't what its digest says."""
-    if any(digest(p) != d for d, p in zip(digests, parts, strict=True)):
+def describe(record: bytes, parts: list[bytes]) -> tuple:
+    """Values of a rebuilt payload from its stored form; raises if a chunk isn't what the list says."""
+    if any((digest(p), len(p)) != x for x, p in zip(listed(record), parts, strict=True)):
         raise ValueError("a stored chunk differs from its digest")
     data = b"".join(parts)
-    head = b"CDC1" + struct.pack("<I", len(parts)) + b"".join(d + struct.pack("<I", n) for d, n in zip(digests, sizes))
     tally = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     share = tally[tally > 0] / len(data)
     feature = f"mean={(tally * np.arange(256)).sum() / len(data):.4f};entropy={-(share * np.log2(share)).sum():.4f};values={len(share)};chunks={len(parts)}"
-    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(head) + len(data), hashlib.sha256(head + data).hexdigest(), feature
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(record) + len(data), hashlib.sha256(record + data).hexdigest(), feature
 
 
 def read_media(documents: DataFrame, shared: DataFrame) -> DataFrame:
@@ -160,24 +170,25 @@ def read_media(documents: DataFrame, shared: DataFrame) -> DataFrame:
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for digests, sizes, flags, own, others in zip(*(b.column(c) for c in ("digests", "sizes", "shared", "own", "others"))):
-                own, at, parts, sizes, other = own.as_py(), 0, [], sizes.as_py(), iter(x["chunk"] for x in sorted(others.as_py() or [], key=lambda x: x["at"]))
-                for n, f in zip(sizes, flags.as_py()):
+            for record, flags, own, others in zip(*(b.column(c) for c in ("list", "shared", "own", "others"))):
+                record, own, at, parts, other = record.as_py(), own.as_py(), 0, [], iter(x["chunk"] for x in sorted(others.as_py() or [], key=lambda x: x["at"]))
+                for (_, n), f in zip(listed(record), flags.as_py()):
                     if f:
                         parts.append(next(other))
                     else:
                         parts.append(own[at : at + n])
                         at += n
-                out.append(describe(digests.as_py(), sizes, parts))
+                out.append(describe(record, parts))
             keep = [c for c in ("doc_id", "n_bytes", "list_key") if c in b.schema.names]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 6, kinds))], names=[*keep, *names])
 
     none = F.expr("cast(null as array<struct<at:int,chunk:binary>>)")
-    plain = mapped(documents.where("n_shared = 0").select("doc_id", "n_bytes", "digests", "sizes", "shared", "own", none.alias("others")), rebuilt, f"doc_id long, n_bytes long, {MEDIA}")
+    plain = mapped(documents.where("n_shared = 0").select("doc_id", "n_bytes", "list", "shared", "own", none.alias("others")), rebuilt, f"doc_id long, n_bytes long, {MEDIA}")
     some = documents.where("n_shared > 0")
     first = some.groupBy("list_key").agg(F.min("row_id").alias("row_id")).select("row_id")
-    asked = first.join(some.select("row_id", "digests", "shared"), "row_id").select("row_id", F.posexplode(F.arrays_zip("digests", "shared")).alias("at", "x")).where("x.shared")
-    found = asked.select("row_id", "at", F.col("x.digests").alias("digest")).join(shared, "digest").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))
-    whole = some.select("row_id", "list_key", "digests", "sizes", "shared", "own").join(found, "row_id")
-    each = mapped(whole.select("list_key", "digests", "sizes", "shared", "own", "others"), rebuilt, f"list_key binary, {MEDIA}")
-    return plain.union(some.select("doc_id", "n_bytes", "list_key").join(each, "list_key").select("doc_id", "n_bytes", *names))
+    place = F.posexplode("shared").alias("at", "yes")
+    asked = first.join(some.select("row_id", "list", "shared"), "row_id").select("row_id", "list", place).where("yes").select("row_id", "at", F.expr("substring(list, 9 + 20 * at, 16)").alias("digest"))
+    found = popular_join(stored(asked, "asked"), shared, "digest").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))
+    whole = some.select("row_id", "list_key", "list", "shared", "own").join(found, "row_id")
+    each = stored(mapped(whole.select("list_key", "list", "shared", "own", "others"), rebuilt, f"list_key binary, {MEDIA}"), "rebuilt")
+    return plain.union(popular_join(some.select("doc_id", "n_bytes", "list_key"), each, "list_key").select("doc_id", "n_bytes", *names))
