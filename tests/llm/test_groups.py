@@ -156,6 +156,13 @@ def test_lattice_links(spark, block, monkeypatch):
     assert lattice_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a)), 0.0]
+    rows = [(1, turn(0.0)), (1, turn(2.0)), (2, turn(0.1)), (3, turn(2.1)), (4, turn(2.12)), (5, [0.0, -0.0, 1.0]), (6, [-0.0, 0.0, 1.0])]
+    got = lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert by_id((r.vec_id, r.n_links, r.component_id) for r in got) == by_id([(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (6, 1, 5)])
+
+
 def near_pairs(dim, n):
     rng = np.random.default_rng(dim)
     a, z = rng.normal(size=(2, n, dim))
@@ -311,3 +318,42 @@ def test_pipeline_stages(spark, labelled):
     assert s.count() == b.count() and "hunter" not in s.where("doc_id = 5002").first().text and s.columns == docs.columns
     p = c.STAGES[3][1](spark, s, "")
     assert {r.doc_id for r in p.collect()} == {r.doc_id for r in s.collect()}
+
+
+def unmarked_pages(n, seed=7):
+    """(page that marks its article, the same page in plain divs, the article's blocks); one block alone tells little."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        say = lambda least, most: prose(rng, rng.randint(least, most))
+        ps = [say(15, 60) + "." if rng.random() < 0.7 else say(1, 6) for _ in range(rng.randint(5, 12))]
+        note = [say(15, 30) + "." if rng.random() < 0.1 else say(1, 6) for _ in range(rng.randint(4, 9))]
+        body, side = ("".join(f"<div>{t}</div>" for t in x) for x in (ps, note))
+        yield f"<body><div>{side}</div><article>{body}</article></body>", f"<body><div>{side}</div><div>{body}</div></body>", ps
+
+
+def test_the_cut_changes_blocks_of_pages_without_marks(spark):
+    pages = list(unmarked_pages(160))
+    weights = html_mincut.fitted([a for a, _, _ in pages[:80]])
+    mended = broken = total = wrong = 0
+    for _, page, want in pages[80:]:
+        blocks = html_mincut.blocks_of(page)
+        for cut, score, b in zip(html_mincut.content(blocks, weights), html_mincut.scores(blocks, weights), blocks):
+            truth, sign = b.text in want, score > 0
+            total += 1
+            wrong += cut != truth
+            mended += cut == truth != sign
+            broken += sign == truth != cut
+    assert mended > 2 * broken and mended + broken > 0.02 * total and wrong < 0.05 * total, (mended, broken, wrong, total)
+    df = spark.createDataFrame([(k, f"u{k}", a) for k, (a, _, _) in enumerate(pages)], "page_id long, url string, html string")
+    assert np.allclose(html_mincut.learn(df, most=160), html_mincut.fitted([a for a, _, _ in pages]))
+    assert (html_mincut.learn(df.limit(0)) == html_mincut.BY_HAND).all()
+
+
+def test_predictions_replace_columns_of_their_names(spark, odd_docs):
+    net = lang_cnn.train([("en", "the cat and the dog " * 20), ("fr", "le chat et le chien " * 20)] * 4)
+    df = spark.createDataFrame([(1, "le chat et le chien " * 5, 5, "x", "y"), (2, "½ ² ① Ⅷ", 5, "x", "y"), (3, None, 5, "x", "y")], "doc_id long, text string, score int, _pred string, Lang_Pred string")
+    got = lang_cnn.predict(df, net)
+    assert got.columns == ["doc_id", "text", "_pred", "lang_pred", "score"]
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "fr", 2: "und", 3: "und"}
+    df = df.withColumn("lang", F.lit("fr"))
+    assert lang_cnn.keep_known(df).columns == df.columns and lang_cnn.keep_known(df).count() <= 3
