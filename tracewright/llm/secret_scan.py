@@ -63,26 +63,30 @@ TERMS = [0] + [round(c * math.log2(c) * 2**32) for c in range(1, WIDTH + 1)]
 
 def window_entropy(run: Column) -> Column:
     """Largest Shannon entropy, in bits, of a window of WIDTH letters of a run."""
-    letters = F.split(run, "")
-    number = lambda c: F.ascii(c) - LOWEST
-    gone = F.concat(F.array_repeat(F.lit(None).cast("int"), WIDTH), F.transform(F.slice(letters, 1, F.size(letters) - WIDTH), number))
-    pairs = F.arrays_zip(F.transform(letters, number).alias("into"), gone.alias("out"))
-    terms, one = F.array(*[F.lit(t).cast("long") for t in TERMS]), F.lit(1).cast("long")
+    one = F.lit(1).cast("long")
+
+    def place(c: Column) -> Column:
+        """Which long has the letter's count, how far up, and a count of one there."""
+        number = F.ascii(c) - LOWEST
+        up = number % FIELDS * FIELD
+        return F.struct(F.floor(number / FIELDS).cast("int").alias("word"), up.alias("up"), F.call_function("shiftleft", one, up).alias("unit"))
+
+    letters = F.transform(F.split(run, ""), place)
+    gone = F.concat(F.transform(F.array_repeat(F.lit(0), WIDTH), lambda _: F.struct(F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("up"), F.lit(0).cast("long").alias("unit"))), F.slice(letters, 1, F.size(letters) - WIDTH))
+    pairs = F.arrays_zip(letters.alias("into"), gone.alias("out"))
+    terms = F.array(*[F.lit(t).cast("long") for t in TERMS])
     none = F.struct(F.array_repeat(F.lit(0).cast("long"), LONGS).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("seen"), F.lit(1 << 62).alias("low"))
-    place = lambda letter: F.floor(letter / FIELDS).cast("int")
-    shift = lambda letter: letter % FIELDS * FIELD
 
     def count(acc: Column, letter: Column) -> Column:
-        return F.call_function("shiftright", F.get(acc["n"], place(letter)), shift(letter)).bitwiseAND(31).cast("int")
+        return F.call_function("shiftright", F.get(acc["n"], letter["word"]), letter["up"]).bitwiseAND(31).cast("int")
 
     def step(acc: Column, p: Column) -> Column:
-        came, left = count(acc, p["into"]), count(acc, p["out"])
-        change = F.get(terms, came + 1) - F.get(terms, came) + F.coalesce(F.get(terms, left - 1) - F.get(terms, left), F.lit(0).cast("long"))
-        bit = lambda letter: F.call_function("shiftleft", one, shift(letter))
-        n = F.transform(acc["n"], lambda x, j: x + F.when(j == place(p["into"]), bit(p["into"])).otherwise(0) - F.when(j == place(p["out"]), bit(p["out"])).otherwise(0))
-        same = F.coalesce(p["into"] == p["out"], F.lit(False))
-        total, seen = F.when(same, acc["sum"]).otherwise(acc["sum"] + change), acc["seen"] + 1
-        return F.struct(F.when(same, acc["n"]).otherwise(n).alias("n"), total.alias("sum"), seen.alias("seen"), F.when((seen >= WIDTH) & (total < acc["low"]), total).otherwise(acc["low"]).alias("low"))
+        """First the letter that goes is taken off, then the other is counted."""
+        came, left = p["into"], p["out"]
+        n = F.transform(acc["n"], lambda x, j: F.when(j == came["word"], x + came["unit"]).otherwise(x) - F.when(j == left["word"], left["unit"]).otherwise(F.lit(0).cast("long")))
+        old, new = count(acc, left), count(acc, came) - F.when(came["unit"].eqNullSafe(left["unit"]) & came["word"].eqNullSafe(left["word"]), 1).otherwise(0)
+        total = acc["sum"] + F.coalesce(F.get(terms, old - 1) - F.get(terms, old), F.lit(0).cast("long")) + F.get(terms, new + 1) - F.get(terms, new)
+        return F.struct(n.alias("n"), total.alias("sum"), (acc["seen"] + 1).alias("seen"), F.when((acc["seen"] >= WIDTH - 1) & (total < acc["low"]), total).otherwise(acc["low"]).alias("low"))
 
     return F.aggregate(pairs, none, step, lambda acc: F.lit(math.log2(WIDTH)) - acc["low"] / float(WIDTH << 32))
 
