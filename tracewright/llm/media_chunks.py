@@ -31,7 +31,7 @@ from .common import popular_join, stored, whole_text
 
 UNIT, LEAST, MOST, CUT_BITS = 64, 512, 8192, 11
 #: Bits of the filter for each shared digest, and at most and at least in all.
-PER_KEY, MOST_BITS, LEAST_BITS = 16, 1 << 27, 1 << 16
+PER_KEY, MOST_BITS, LEAST_BITS = 16, 1 << 26, 1 << 16
 MAGIC = b"CDC1"
 #: The gear table by a rule: Weyl steps through a multiplicative mixer.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(29))) >> np.uint64(31)).astype(np.uint32)
@@ -72,8 +72,9 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return [(digest(c := data[a:b]), c) for a, b in zip([0, *ends], ends)]
 
 
-def in_filter(words: np.ndarray, key: bytes) -> bool:
-    at = np.frombuffer(key, "<u4") % np.uint32(len(words) * 64)
+def in_filter(words: np.ndarray, key: bytes, salt: int = 0) -> bool:
+    """Whether a Bloom filter may hold a digest, or a digest with the id of a document."""
+    at = (np.frombuffer(key, "<u4") + np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) % np.uint32(len(words) * 64)
     return all(int(words[p >> 6]) >> (p & 63) & 1 for p in at.tolist())
 
 
@@ -92,26 +93,33 @@ def listed(record: bytes) -> list[tuple[bytes, int]]:
     return list(struct.iter_unpack("<16sI", record[8:]))
 
 
-def shared_filter(docs: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """Bloom filter of the digests that occur more than once; ``most_bits`` / 64 words at most reach the driver."""
+def shared_filters(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Bloom filters of the digests that occur more than once, and of each with the smallest id of its documents, which
+    sends the chunk; ``most_bits`` / 64 words of each reach the driver at most."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [d for t in b.column(1) for d, _ in chunks(payload(t.as_py())[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
+            found = [(d, doc) for doc, t in zip(b.column(0).to_pylist(), b.column(1)) for d, _ in chunks(payload(t.as_py())[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([doc or 0 for _, doc in found], pa.int64())], names=["digest", "doc_id"])
 
-    often = stored(mapped(_texts(docs), digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "often")
+    counted = mapped(_texts(docs), digests, "digest binary, doc_id long").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    often = stored(counted.where("n > 1").select("digest", "doc_id"), "often")
     bits = min(most_bits, max(LEAST_BITS, 1 << (PER_KEY * often.count()).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4") % np.uint32(bits)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["word", "bit"])
+            if not b.num_rows:
+                continue
+            plain = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, 4)
+            salt = np.array([x * 0x9E3779B1 & 0xFFFFFFFF for x in b.column(1).to_pylist()], np.uint32)
+            for which, key in enumerate((plain, plain + salt[:, None])):
+                at = (key % np.uint32(bits)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["which", "word", "bit"])
 
-    out = np.zeros(bits // 64, np.uint64)
-    rows = mapped(often, words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
-    out[rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
-    return out
+    out = np.zeros((2, bits // 64), np.uint64)
+    rows = mapped(often, words, "which int, word int, bit int").groupBy("which", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
+    out[rows.which.to_numpy(), rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
+    return out[0], out[1]
 
 
 DOC = "row_id long, doc_id long, n_bytes long, list_key binary, list binary, shared array<boolean>, n_shared int, own binary, digest binary, chunk binary"
@@ -119,11 +127,11 @@ DOC = "row_id long, doc_id long, n_bytes long, list_key binary, list binary, sha
 
 def write_media(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """Store the payloads and return what was written: (chunk lists with own chunks, shared chunks)."""
-    words = docs.sparkSession.sparkContext.broadcast(shared_filter(docs, most_bits))
+    words = docs.sparkSession.sparkContext.broadcast(shared_filters(docs, most_bits))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents, and rows of shared chunks that this task has not sent yet."""
-        w, part, n, sent = words.value, TaskContext.get().partitionId(), 0, set()
+        """Rows of documents, and a row of each shared chunk from the first of its documents by id."""
+        (w, first), part, n, sent = words.value, TaskContext.get().partitionId(), 0, set()
         names = [f.split()[0] for f in DOC.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for b in batches:
@@ -135,7 +143,7 @@ def write_media(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame,
                 record = chunk_list(got)
                 rows.append((part << 40 | n, doc, size, digest(struct.pack("<q", size) + record), record, flags, sum(flags), b"".join(c for (_, c), f in zip(got, flags) if not f), None, None))
                 for (d, c), f in zip(got, flags):
-                    if f and d not in sent:
+                    if f and d not in sent and in_filter(first, d, doc or 0):
                         sent.add(d)
                         rows.append((*[None] * 8, d, c))
                 n += 1
