@@ -33,7 +33,14 @@ def rows_of(seed):
 
 
 def test_streaming_directly_follows(spark, tmp_path):
-    df, stream = stream_of(spark, tmp_path, rows_of(1))
+    """Events late by less than the watermark find their place; a last event far ahead lets all others out."""
+    rows = rows_of(1)
+    df, stream = stream_of(spark, tmp_path, rows + [("end", "z", 5000, 5000, "x")])
+    late = [(c, a, t - 15, 1000 + t, r) for c, a, t, _, r in rows if t >= 40]
+    more = spark.createDataFrame(late, "case_id string, activity string, t int, event_id int, resource string").withColumn("ts", F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,t)"))
+    more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.where("t = 5000").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = df.where("t < 5000").union(more)
     got = finished(logs.directly_follows(stream), "pairs", spark, tmp_path).groupBy("source", "target").count()
     want = relations.directly_follows(EventLog(df))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -303,7 +304,11 @@ def ranking_metrics(ranks: DataFrame) -> DataFrame:
 
 
 def play_out(spark: SparkSession, net: Net, cases: int, seed: int = 42, most: int = 200) -> DataFrame:
-    """(case_id, pos, activity): random runs of a net, each from its own seed; runs that don't end are left out."""
+    """(case_id, pos, activity, ended): random runs of a net, each from its own seed.
+
+    Runs that get stuck or don't end in time keep their events, with ``ended`` false; a run without events has one row
+    of position 0.
+    """
     ship(spark)
     known = spark.sparkContext.broadcast(net)
 
@@ -327,11 +332,10 @@ def play_out(spark: SparkSession, net: Net, cases: int, seed: int = 42, most: in
                     marking = player.fire(marking, t)
                     if player.net.transitions[t][0] is not None:
                         trace.append(player.net.transitions[t][0])
-                if done:
-                    rows += [(str(case), k, a) for k, a in enumerate(trace, 1)]
-            yield pd.DataFrame(rows, columns=["case_id", "pos", "activity"])
+                rows += [(str(case), k, a, done) for k, a in enumerate(trace, 1)] or [(str(case), 0, None, done)]
+            yield pd.DataFrame(rows, columns=["case_id", "pos", "activity", "ended"])
 
-    return spark.range(cases).mapInPandas(run, "case_id string, pos int, activity string")
+    return spark.range(cases).mapInPandas(run, "case_id string, pos int, activity string, ended boolean")
 
 
 def random_tree(activities: int, seed: int = 42, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25), silent: float = 0.2) -> tuple:
@@ -358,31 +362,24 @@ def random_tree(activities: int, seed: int = 42, weights: tuple[float, float, fl
 
 def agglomerate(spark: SparkSession, similarity: DataFrame, clusters: int, linkage: str = "average", most: int = 2000) -> DataFrame:
     """(resource, cluster): resources joined by similarity (a, b, similarity), pairs not listed having 0, to that many clusters."""
-    rows = similarity.select("a", "b", "similarity").limit(most * most).collect()
-    names = sorted({x for r in rows for x in r[:2]})
+    names = sorted(r[0] for r in similarity.select(F.explode(F.array("a", "b"))).distinct().limit(most + 1).collect())
     if len(names) > most:
         raise ValueError(f"more than {most} resources")
-    sim = {frozenset(r[:2]): float(r[2] or 0) for r in rows}
-    groups = [[x] for x in names]
-    fold = {"average": lambda v: sum(v) / len(v), "complete": min, "single": max}[linkage]
-    while len(groups) > clusters:
-        i, j = max(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: fold([sim.get(frozenset((x, y)), 0.0) for x in groups[p[0]] for y in groups[p[1]]]))
-        groups[i] += groups.pop(j)
-    return spark.createDataFrame([(x, k) for k, g in enumerate(sorted(groups)) for x in sorted(g)], "resource string, cluster int")
-
-
-def executions(log: OCEL, leading: str) -> DataFrame:
-    """(execution, event_id): events of each leading object and of the objects that share an event with it, where no
-    other leading object lies nearer (one hop; a shared event belongs to every leading object in it)."""
-    r = relations(log).select("event_id", "object_id", "object_type").distinct()
-    lead_ = r.where(F.col("object_type") == leading).select("event_id", F.col("object_id").alias("execution"))
-    return lead_.distinct()
-
-
-def execution_variants(log: OCEL, leading: str) -> DataFrame:
-    """(variant, n): executions grouped by their events' activities and related types in order."""
-    r = relations(log)
-    types = r.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("object_type")), "+").alias("types"))
-    e = executions(log, leading).join(types, "event_id").join(log.events, "event_id")
-    label = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.concat_ws("/", "activity", "types").alias("x")))), lambda v: v["x"])
-    return e.groupBy("execution").agg(F.array_join(label, ">").alias("variant")).groupBy("variant").agg(F.count("*").alias("n"))
+    at = {x: k for k, x in enumerate(names)}
+    near = np.zeros((len(names), len(names)))
+    for a, b, s in similarity.select("a", "b", "similarity").collect():  # one row a pair of at most ``most`` names
+        near[at[a], at[b]] = near[at[b], at[a]] = s or 0.0
+    groups, alive = [[x] for x in names], np.ones(len(names), bool)
+    np.fill_diagonal(near, -np.inf)
+    for _ in range(len(names) - clusters):
+        i, j = divmod(int(near.argmax()), len(names))  # the first pair of the greatest similarity
+        i, j = min(i, j), max(i, j)
+        if linkage == "average":
+            row = (near[i] * len(groups[i]) + near[j] * len(groups[j])) / (len(groups[i]) + len(groups[j]))
+        else:
+            row = (np.minimum if linkage == "complete" else np.maximum)(near[i], near[j])
+        groups[i] += groups[j]
+        groups[j], alive[j] = [], False
+        row[i] = row[~alive] = -np.inf
+        near[i], near[:, i], near[j], near[:, j] = row, row, -np.inf, -np.inf
+    return spark.createDataFrame([(x, k) for k, g in enumerate(sorted(sorted(g) for g in groups if g)) for x in g], "resource string, cluster int")

@@ -44,7 +44,7 @@ def component_sizes(edges: DataFrame, a: str, b: str) -> DataFrame:
     return connected_components(edges, a, b).groupBy("component").agg(F.count("*").alias("size")).agg(F.count("*").alias("components"), F.max("size").alias("largest"))
 
 
-def levels(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
+def levels(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
     """(source, vertex, distance): breadth-first distances from each source over undirected edges (u, v)."""
     e = edges.select("u", "v").unionAll(edges.select(F.col("v"), F.col("u"))).distinct()
     seen = front = settled(sources.select("source", F.col("source").alias("vertex"), F.lit(0).alias("distance")))
@@ -52,9 +52,9 @@ def levels(edges: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
         step = front.join(e, F.col("vertex") == F.col("u")).select("source", F.col("v").alias("vertex"), F.lit(k).alias("distance")).distinct()
         front = settled(step.join(seen, ["source", "vertex"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(front)
-    return seen
+    raise RuntimeError("vertices lie farther apart than that many steps")
 
 
 def refine_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 16) -> DataFrame:

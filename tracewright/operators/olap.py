@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import OCEL, EventLog, in_order
-
-#: Packed case numbers leave this much room to each type.
-TYPE_SPAN = 8_000_000
-
+from .ordered import numbered
 
 def relations(log: OCEL) -> DataFrame:
     """Event-object pairs with the event's activity and time and the object's type."""
@@ -19,12 +16,11 @@ def relations(log: OCEL) -> DataFrame:
 def flatten(log: OCEL, object_types: list[str]) -> tuple[DataFrame, DataFrame]:
     """One case for each object of the types, in the order given: (cases, events).
 
-    ``trace_idx`` packs the type's position and the object's rank in its type.
+    ``trace_idx`` counts the cases from 0, by the type's position, then the object.
     """
     place = F.array_position(F.array(*map(F.lit, object_types)), F.col("object_type"))
-    rank = F.row_number().over(Window.partitionBy("object_type").orderBy("object_id"))
-    chosen = log.objects.where(F.col("object_type").isin(object_types))
-    cases = chosen.select(((place - 1) * TYPE_SPAN + rank - 1).cast("long").alias("trace_idx"), "object_id", "object_type")
+    chosen = log.objects.where(F.col("object_type").isin(object_types)).withColumn("_place", place)
+    cases = numbered(chosen, "_place", "object_id").select((F.col("rank") - 1).alias("trace_idx"), "object_id", "object_type")
     pairs = log.e2o.select("event_id", "object_id").distinct()
     events = pairs.join(cases, "object_id").join(log.events, "event_id").select("trace_idx", "object_type", "object_id", "event_id", "activity", "ts")
     return cases, events

@@ -122,11 +122,16 @@ def activity_type_matrix(log: OCEL) -> DataFrame:
     return k.groupBy("activity", "object_type").agg(F.count("*").alias("events"), F.sum("k").alias("relations"), F.max("k").alias("most")).join(all_, "activity").select("activity", "object_type", "events", "relations", "most", ratio(F.col("events"), F.col("total")).alias("share"))
 
 
-def life_paths(log: OCEL) -> DataFrame:
-    """(object_type, object_id, path, length): each object's activities in order."""
+def lives(log: OCEL) -> DataFrame:
+    """(object_type, object_id, seq): each object's activities in order."""
     r = relations(log).select("object_type", "object_id", "event_id", "activity", "ts").distinct()
-    path = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").isNull().alias("n"), "ts", "event_id", "activity"))), lambda x: x["activity"])
-    return r.groupBy("object_type", "object_id").agg(F.array_join(path, ">").alias("path"), F.count("*").alias("length"))
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").isNull().alias("n"), "ts", "event_id", "activity"))), lambda x: x["activity"])
+    return r.groupBy("object_type", "object_id").agg(seq.alias("seq"))
+
+
+def life_paths(log: OCEL) -> DataFrame:
+    """(object_type, object_id, path, length): each object's activities in order, as text."""
+    return lives(log).select("object_type", "object_id", F.array_join("seq", ">").alias("path"), F.size("seq").cast("long").alias("length"))
 
 
 def type_lifecycles(log: OCEL) -> DataFrame:

@@ -224,10 +224,15 @@ def busy_time(items: DataFrame) -> DataFrame:
 
 
 def workload(items: DataFrame) -> DataFrame:
-    """(resource, item, concurrent): other items of the resource that are open when an item starts."""
-    rows = items.select("resource", "item", F.col("start").alias("t"), F.lit(1).alias("s")).unionAll(items.select("resource", "item", F.col("end"), F.lit(-1)))
+    """(resource, item, concurrent): items of the resource that are open when an item starts, itself included."""
+    return _loads(items).select("resource", "item", "concurrent")
+
+
+def _loads(items: DataFrame) -> DataFrame:
+    """``workload`` with the items' ``start`` and ``end``."""
+    rows = items.select("resource", "item", "start", "end", F.col("start").alias("t"), F.lit(1).alias("s")).unionAll(items.select("resource", "item", "start", "end", F.col("end"), F.lit(-1)))
     upto = Window.partitionBy("resource").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("open", F.sum("s").over(upto)).where("s = 1").select("resource", "item", F.col("open").cast("long").alias("concurrent"))
+    return rows.withColumn("open", F.sum("s").over(upto)).where("s = 1").select("resource", "item", "start", "end", F.col("open").cast("long").alias("concurrent"))
 
 
 def batches(log: EventLog, gap_us: int) -> DataFrame:
@@ -272,3 +277,84 @@ def concurrency_filter(edges: DataFrame, preserve: float = 0.6, ratio_: float =
     y = rel.join(back, ["source", "target"], "left")
     keep = F.col("rb").isNull() | ((F.col("r") > preserve) & (F.col("rb") > preserve)) | ((F.least("r", "rb") / F.greatest("r", "rb") < ratio_) & (F.col("r") > F.col("rb")))
     return y.where(keep).select("source", "target", "n")
+
+
+def reassignment(log: EventLog, once: bool = True) -> DataFrame:
+    """(source, target, n): the same activity done twice in a case, by another resource later; a case counts once or each pair.
+
+    Counted from running totals by resource, so that a case's pairs of events are never listed.
+    """
+    e = log.events.where("resource is not null").select("case_id", "activity", "resource", F.row_number().over(in_order("case_id")).alias("pos"))
+    span = e.groupBy("case_id", "activity", "resource").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    if once:
+        x, y = (span.select("case_id", "activity", F.col("resource").alias(n), F.col(c)) for n, c in (("source", "first"), ("target", "last")))
+        p = x.join(y, ["case_id", "activity"]).where("source <> target and first < last").select("case_id", "source", "target").distinct()
+        return p.groupBy("source", "target").agg(F.count("*").alias("n"))
+    others = span.select("case_id", "activity", F.col("resource").alias("source"))
+    rows = e.join(others, ["case_id", "activity"])
+    before = Window.partitionBy("case_id", "activity", "source").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    c = rows.withColumn("c", F.coalesce(F.sum(F.when(F.col("resource") == F.col("source"), 1).otherwise(0)).over(before), F.lit(0)))
+    return c.where("resource <> source and c > 0").groupBy("source", F.col("resource").alias("target")).agg(F.sum("c").alias("n"))
+
+
+def shares(edges: DataFrame, weight: str) -> DataFrame:
+    """Edges with the ``share`` of their weight in all of it; a table of pairs of resources."""
+    total = F.broadcast(edges.agg(F.sum(weight).alias("_total")))  # one row
+    return edges.crossJoin(total).withColumn("share", F.round(F.col(weight) / F.col("_total"), 9)).drop("_total")
+
+
+def collaborators(log: EventLog) -> DataFrame:
+    """(resource, collaborators): how many others took part in a resource's cases."""
+    c = log.events.where("resource is not null").select("case_id", "resource").distinct()
+    met = c.join(c.select("case_id", F.col("resource").alias("other")), "case_id").where("resource <> other").select("resource", "other").distinct()
+    n = met.groupBy("resource").agg(F.count("*").alias("collaborators"))
+    return c.select("resource").distinct().join(n, "resource", "left").fillna(0, ["collaborators"])
+
+
+def top_activities_of(log: EventLog, most: int = 64) -> DataFrame:
+    """(resource, activity, n, rank): each resource's commonest activities."""
+    k = log.events.where("resource is not null").groupBy("resource", "activity").agg(F.count("*").alias("n"))
+    return k.withColumn("rank", F.row_number().over(Window.partitionBy("resource").orderBy(F.desc("n"), "activity"))).where(F.col("rank") <= most)
+
+
+def load_correlation(items: DataFrame, least: int = 3) -> DataFrame:
+    """(resource, items, correlation): Pearson's between items open at an item's start and its duration in seconds;
+    null below ``least`` items or where one of them never varies."""
+    load = _loads(items).withColumn("secs", (F.col("end") - F.col("start")) / 1e6)
+    ok = (F.count("*") >= least) & (F.min("concurrent") < F.max("concurrent")) & (F.min("secs") < F.max("secs"))
+    return load.groupBy("resource").agg(F.count("*").alias("items"), F.when(ok, F.round(F.corr(F.col("concurrent").cast("double"), "secs"), 9)).alias("correlation"))
+
+
+# The widths of a timeline's buckets in microseconds, and the most buckets it may have.
+WIDTHS = (("hour", 3_600_000_000), ("day", 86_400_000_000), ("week", 604_800_000_000), ("month", 2_592_000_000_000))
+MOST_BUCKETS = 400
+
+
+def timeline(log: EventLog, unit: str = "day") -> DataFrame:
+    """(width, bucket, resource, n): events by buckets of ``unit``, widened until the span has at most MOST_BUCKETS."""
+    e = log.events.where("resource is not null and ts is not null").withColumn("us", micros("ts"))
+    span = F.greatest(F.max("us") - F.min("us"), F.lit(1))
+    at = [n for n, _ in WIDTHS].index(unit)
+    width = F.lit(WIDTHS[-1][1])
+    for _, w in reversed(WIDTHS[at:-1]):
+        width = F.when(F.ceil(span / w) <= MOST_BUCKETS, w).otherwise(width)
+    chosen = F.broadcast(e.agg(width.alias("width")))  # one row
+    name = F.create_map(*[F.lit(x) for n, w in WIDTHS for x in (w, n)])
+    return e.crossJoin(chosen).groupBy(name[F.col("width")].alias("width"), F.floor(F.col("us") / F.col("width")).alias("bucket"), "resource").agg(F.count("*").alias("n"))
+
+
+def allowed_counts(log: EventLog) -> DataFrame:
+    """(activity, k, cases): how often an activity occurs in a case, none included."""
+    k = positions(log).groupBy("activity", F.col("k").cast("long").alias("k")).agg(F.count("*").alias("cases"))
+    total = F.broadcast(log.all_cases().agg(F.countDistinct("case_id").alias("total")))  # one row
+    none = k.groupBy("activity").agg(F.sum("cases").alias("with")).crossJoin(total).select("activity", F.lit(0).cast("long").alias("k"), (F.col("total") - F.col("with")).alias("cases"))
+    return k.unionAll(none.where("cases > 0"))
+
+
+def share_prune(edges: DataFrame, weight: str, share: float, *ties: str) -> DataFrame:
+    """Like ``cumulative_prune``; where a weight is negative, the top ``share`` of edges by rank instead."""
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(weight), *ties)  # a table of pairs of names or resources
+    total = F.broadcast(edges.agg(F.sum(weight).alias("_total"), F.min(weight).alias("_least"), F.count("*").alias("_rows")))
+    x = edges.withColumn("_before", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)).withColumn("_rank", F.row_number().over(w)).crossJoin(total)
+    keep = F.when(F.col("_least") < 0, F.col("_rank") <= F.round(F.lit(share) * F.col("_rows"))).otherwise(F.col("_before") < share * F.col("_total"))
+    return x.where(keep).select(*edges.columns)

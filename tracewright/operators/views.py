@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..model import OCEL, EventLog, in_order, micros
 from .olap import relations
-from .profile import life_paths
+from .graph import settled
+from .ordered import numbered
+from .profile import lives
 from .relations import best_edges, cumulative_prune, sequences, variants
 
 
@@ -26,20 +28,17 @@ def station_edges(edges: DataFrame, coverage: float = 0.88) -> DataFrame:
 
 
 def variant_list(log: EventLog, coverage: float = 0.8) -> DataFrame:
-    """(rank, seq, n, cumulative): the commonest variants that reach a share of the cases. Ranks are over variants."""
-    v = variants(log).select(F.array_join("seq", ">").alias("seq"), "n")
-    w = Window.orderBy(F.desc("n"), "seq")
+    """(rank, seq, n, cumulative): the commonest variants that reach a share of the cases."""
+    v = settled(variants(log).select("seq", "n"))
     total = F.broadcast(v.agg(F.sum("n").alias("total")))  # one row
-    x = v.select("seq", "n", F.row_number().over(w).cast("long").alias("rank"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).crossJoin(total)
-    return x.where(F.col("run") - F.col("n") < coverage * F.col("total")).select("rank", "seq", "n", (F.col("run") / F.col("total")).alias("cumulative"))
+    x = numbered(v, F.desc("n"), "seq", running="n").crossJoin(total)
+    return x.where(F.col("running") - F.col("n") < coverage * F.col("total")).select("rank", "seq", "n", (F.col("running") / F.col("total")).alias("cumulative"))
 
 
 def variant_edges(log: OCEL, object_type: str) -> DataFrame:
     """(source, target, min_variant, n): directly-follows edges of a type with the rank of the commonest variant that has them."""
-    p = life_paths(log).where(F.col("object_type") == object_type)
-    v = p.groupBy("path").agg(F.count("*").alias("n"))
-    v = v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "path")))
-    s = F.split("path", ">")
+    v = numbered(lives(log).where(F.col("object_type") == object_type).groupBy("seq").agg(F.count("*").alias("n")), F.desc("n"), "seq")
+    s = F.col("seq")
     e = v.select("rank", "n", F.explode(F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("b"))).alias("e"))
     return e.groupBy(F.col("e.a").alias("source"), F.col("e.b").alias("target")).agg(F.min("rank").cast("long").alias("min_variant"), F.sum("n").alias("n"))
 
@@ -96,11 +95,7 @@ def replay_sample(log: EventLog, cases: int) -> DataFrame:
 
 def dense_ids(df: DataFrame, column: str) -> DataFrame:
     """(value, id): ids 0, 1, ... of a column's distinct values in order, ranked inside value ranges and put end to end."""
-    v = df.select(F.col(column).alias("value")).distinct()
-    h = F.substring("value", 1, 6)  # a prefix keeps the order, so prefixes are ranges
-    sizes = v.groupBy(h.alias("h")).agg(F.count("*").alias("n"))
-    before = sizes.select("h", (F.sum("n").over(Window.orderBy("h")) - F.col("n")).alias("before"))  # one row a prefix
-    return v.withColumn("h", h).join(before, "h").select("value", (F.col("before") + F.row_number().over(Window.partitionBy("h").orderBy("value")) - 1).cast("long").alias("id"))
+    return numbered(df.select(F.col(column).alias("value")).distinct(), "value").select("value", (F.col("rank") - 1).alias("id"))
 
 
 def footprint_similarity(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -134,3 +129,15 @@ def route_counts(log: EventLog, length: int) -> DataFrame:
     s = sequences(log)
     windows = F.explode(F.transform(F.sequence(F.lit(1), F.size("seq") - length + 1), lambda i: F.array_join(F.slice("seq", i, length), ">")))
     return s.where(F.size("seq") >= length).select(windows.alias("route")).groupBy("route").agg(F.count("*").alias("n"))
+
+
+def series(edges: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """(rank, keys, metric, scaled): cells of a metric's matrix from the greatest, scaled to it; a table of pairs of names."""
+    top = F.broadcast(edges.agg(F.max(metric).alias("_top")))  # one row
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), *keys)).cast("long")
+    return edges.crossJoin(top).select(rank.alias("rank"), *keys, metric, F.round(F.try_divide(F.col(metric).cast("double"), F.col("_top").cast("double")), 9).alias("scaled"))
+
+
+def sorted_profiles(profiles: DataFrame, metric: str, name: str) -> DataFrame:
+    """Profiles with their ``rank`` by a metric from the greatest, unknown values last, ties by name."""
+    return numbered(profiles, F.col(metric).desc_nulls_last(), name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import conform, miners, olap, relations
+from ..operators import conform, executions, miners, olap, relations
 from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, day_log, line_log, order_ocel
 from .discovery import DF, RULE
 from .registry import query
@@ -27,20 +27,22 @@ def h2_token_replay(spark, d) -> DataFrame:
     return conform.token_replay(relations.variants(day_log(spark, d)).repartition(8), day_net(spark, d))
 
 
-@query(f"WITH {DAY_SQL}, {RULE} SELECT 'response' AS template, a, b, activations, response AS violations, response = 0 AS holds FROM rc WHERE a = 'signup' UNION ALL SELECT 'precedence', a, b, activations, preceded, preceded = 0 FROM rc WHERE a = 'signup'")
+@query(f"WITH {DAY_SQL}, {RULE} SELECT 'response' AS template, a, b, activations, response AS violations, response = 0 AS holds FROM rc UNION ALL SELECT 'precedence', a, b, activations, preceded, preceded = 0 FROM rc")
 def h4_declare_check(spark, d) -> DataFrame:
-    names = day_log(spark, d).events.select(F.col("activity").alias("b")).distinct().where("b <> 'signup'")
-    rules = names.select(F.lit("response").alias("template"), F.lit("signup").alias("a"), "b").unionAll(names.select(F.lit("precedence"), F.lit("signup"), "b"))
+    names = day_log(spark, d).events.select("activity").distinct()
+    grid = names.select(F.col("activity").alias("a")).crossJoin(F.broadcast(names.select(F.col("activity").alias("b")))).where("a <> b")  # pairs of names
+    rules = grid.select(F.lit("response").alias("template"), "a", "b").unionAll(grid.select(F.lit("precedence"), "a", "b"))
     return conform.check_rules(day_log(spark, d), rules)
 
 
 @query(f"""WITH {LINE_SQL}, {RULE}, x AS (SELECT a.case_id, a.activity AS a, y.activity AS b, a.f AS fa, a.l AS la, p.f AS fb, p.l AS lb FROM po a JOIN nm y ON y.activity <> a.activity LEFT JOIN po p ON p.case_id = a.case_id AND p.activity = y.activity)
-SELECT 'always-after' AS relation, a, b, count(DISTINCT case_id) AS cases FROM x WHERE a = 'NO' AND (lb IS NULL OR lb < la) GROUP BY 1, 2, 3 UNION ALL SELECT 'always-before', a, b, count(DISTINCT case_id) FROM x WHERE a = 'NO' AND (fb IS NULL OR fb > fa) GROUP BY 1, 2, 3 UNION ALL SELECT 'never-together', a, b, count(DISTINCT case_id) FROM x WHERE a = 'NO' AND fb IS NOT NULL GROUP BY 1, 2, 3""")
+SELECT 'always-after' AS relation, a, b, count(DISTINCT case_id) AS cases FROM x WHERE (lb IS NULL OR lb < la) GROUP BY 1, 2, 3 UNION ALL SELECT 'always-before', a, b, count(DISTINCT case_id) FROM x WHERE (fb IS NULL OR fb > fa) GROUP BY 1, 2, 3 UNION ALL SELECT 'never-together', a, b, count(DISTINCT case_id) FROM x WHERE fb IS NOT NULL GROUP BY 1, 2, 3""")
 def h5_skeleton_check(spark, d) -> DataFrame:
-    names = line_log(spark, d).events.select(F.col("activity").alias("b")).distinct().where("b <> 'NO'")
+    names = line_log(spark, d).events.select("activity").distinct()
+    grid = names.select(F.col("activity").alias("a")).crossJoin(F.broadcast(names.select(F.col("activity").alias("b")))).where("a <> b")  # pairs of names
     rules = None
     for r in ("always-after", "always-before", "never-together"):
-        x = names.select(F.lit(r).alias("relation"), F.lit("NO").alias("a"), "b")
+        x = grid.select(F.lit(r).alias("relation"), "a", "b")
         rules = x if rules is None else rules.unionAll(x)
     return conform.skeleton_violations(line_log(spark, d), rules)
 
@@ -104,6 +106,11 @@ def g24_org_model(spark, d) -> DataFrame:
     return conform.agglomerate(spark, s, 5)
 
 
-@query(f"WITH {FLAT_SQL}, ty AS (SELECT event_id, string_agg(DISTINCT object_type, '+' ORDER BY object_type) AS types FROM r GROUP BY 1), e AS (SELECT DISTINCT event_id, object_id AS execution FROM r WHERE object_type = 'Order'), v AS (SELECT execution, string_agg(activity || '/' || types, '>' ORDER BY ts, event_id) AS variant FROM e JOIN ty USING (event_id) JOIN ev USING (event_id) GROUP BY 1) SELECT variant, count(*) AS n FROM v GROUP BY 1")
+@query()
 def g32_execution_variants(spark, d) -> DataFrame:
-    return conform.execution_variants(order_ocel(spark, d), "Order")
+    """(n_events, variants, executions): variants of order executions by size of their graphs."""
+    log = order_ocel(spark, d)
+    members = executions.by_leading_type(log, "Order")
+    size = executions.events_of(log, members).groupBy("execution").agg(F.count("*").alias("n_events"))
+    v = executions.variants(log, members).join(size, "execution", "left").fillna(0, ["n_events"])
+    return v.groupBy("n_events").agg(F.countDistinct("variant").alias("variants"), F.count("*").alias("executions"))

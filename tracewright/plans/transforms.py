@@ -25,9 +25,9 @@ def a2_page(spark, d) -> DataFrame:
     return catalog.page(o, ["o_orderkey", "o_orderstatus", "price"], order=["o_orderkey"], limit=50, offset=100)
 
 
-@query(f"WITH {OCEL_SQL}, n AS (SELECT count(*) AS n FROM ev) SELECT event_id, activity, ts FROM ev, n WHERE n <= 1000000")
+@query(f"WITH {OCEL_SQL}, n AS (SELECT count(*) AS n FROM ev) SELECT event_id, activity, ts FROM ev, n WHERE n <= 2000000000")
 def a3_load_guarded(spark, d) -> DataFrame:
-    return catalog.load_guarded(order_ocel(spark, d), 1_000_000)
+    return catalog.load_guarded(order_ocel(spark, d), 2_000_000_000)
 
 
 @query(f"""WITH {OCEL_SQL} SELECT name, CASE WHEN bool_and(TRY_CAST(value AS BIGINT) IS NOT NULL) THEN 'integer' WHEN bool_and(TRY_CAST(value AS DOUBLE) IS NOT NULL) THEN 'float'
@@ -67,7 +67,7 @@ def a12_options(spark, d) -> DataFrame:
     return catalog.options(order_ocel(spark, d).e2o, "qualifier")
 
 
-@query(f"""WITH {OCEL_SQL}, ca AS (SELECT object_id, object_type, (list_position(['Order','Customer'], object_type) - 1) * 8000000 + row_number() OVER (PARTITION BY object_type ORDER BY object_id) - 1 AS trace_idx FROM ob WHERE object_type IN ('Order','Customer'))
+@query(f"""WITH {OCEL_SQL}, ca AS (SELECT object_id, object_type, row_number() OVER (ORDER BY list_position(['Order','Customer'], object_type), object_id) - 1 AS trace_idx FROM ob WHERE object_type IN ('Order','Customer'))
 SELECT CAST(trace_idx AS BIGINT) AS trace_idx, object_type, ca.object_id, ev.event_id, activity, ts FROM (SELECT DISTINCT event_id, object_id FROM e2o) x JOIN ca USING (object_id) JOIN ev USING (event_id)""")
 def b1_flatten(spark, d) -> DataFrame:
     return olap.flatten(order_ocel(spark, d), TYPES)[1]
@@ -273,15 +273,15 @@ def d14_top_k(spark, d) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").offset(5).limit(10)
 
 
-SETS = "u AS (SELECT activity FROM log WHERE case_id = '1'), v AS (SELECT activity FROM log WHERE case_id = '2')"
+SETS = "u AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'), v AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)"
 
 
-@query(f"WITH {USER_SQL}, {SETS} SELECT 'union' AS op, activity FROM (SELECT * FROM u UNION SELECT * FROM v) UNION ALL SELECT 'except', activity FROM (SELECT * FROM u EXCEPT SELECT * FROM v) UNION ALL SELECT 'intersect', activity FROM (SELECT * FROM u INTERSECT SELECT * FROM v)")
+@query(f"WITH {SETS} SELECT 'union' AS op, k FROM (SELECT * FROM u UNION SELECT * FROM v) UNION ALL SELECT 'except', k FROM (SELECT * FROM u EXCEPT SELECT * FROM v) UNION ALL SELECT 'intersect', k FROM (SELECT * FROM u INTERSECT SELECT * FROM v) UNION ALL SELECT 'union all', k FROM (SELECT * FROM u UNION ALL SELECT * FROM v)")
 def d15_set_operators(spark, d) -> DataFrame:
-    e = user_log(spark, d).events
-    u, v = (e.where(F.col("case_id") == k).select("activity") for k in ("1", "2"))
-    tag = lambda op, df: df.select(F.lit(op).alias("op"), "activity")
-    return tag("union", u.union(v).distinct()).unionAll(tag("except", u.subtract(v))).unionAll(tag("intersect", u.intersect(v)))
+    u = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"))
+    v = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    tag = lambda op, df: df.select(F.lit(op).alias("op"), "k")
+    return tag("union", u.union(v).distinct()).unionAll(tag("except", u.subtract(v))).unionAll(tag("intersect", u.intersect(v))).unionAll(tag("union all", u.unionAll(v)))
 
 
 @query(f"WITH {USER_SQL} SELECT event_id FROM log ORDER BY md5(CAST(event_id AS VARCHAR) || '|7'), event_id LIMIT 200")
@@ -305,14 +305,13 @@ def d21_cube(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-@query("SELECT a.c_name AS a, b.c_name AS b, round(jaro_similarity(a.c_name, b.c_name), 6) AS jaro, round(jaro_winkler_similarity(a.c_name, b.c_name), 6) AS winkler, CAST(levenshtein(a.c_name, b.c_name) AS BIGINT) AS edits FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey * 7 % 100 + 1 WHERE a.c_custkey <= 100")
+@query("SELECT a.c_name AS a, b.c_name AS b, round(jaro_similarity(a.c_name, b.c_name), 6) AS jaro, round(jaro_winkler_similarity(a.c_name, b.c_name), 6) AS winkler, CAST(levenshtein(a.c_name, b.c_name) AS BIGINT) AS edits FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey * 7 % (SELECT count(*) FROM customer) + 1")
 def e1_string_similarity(spark, d) -> DataFrame:
     from ..functions.text import jaro, jaro_winkler
-    from ..shipping import ship
 
-    ship(spark)
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    a = c.where("c_custkey <= 100").select(F.col("c_name").alias("a"), (F.col("c_custkey") * 7 % 100 + 1).alias("k"))
+    n = F.broadcast(c.agg(F.count("*").alias("n")))  # one row
+    a = c.crossJoin(n).select(F.col("c_name").alias("a"), (F.col("c_custkey") * 7 % F.col("n") + 1).alias("k"))
     p = a.join(c.select(F.col("c_name").alias("b"), F.col("c_custkey").alias("k")), "k")
     return p.select("a", "b", F.round(jaro("a", "b"), 6).alias("jaro"), F.round(jaro_winkler("a", "b"), 6).alias("winkler"), F.levenshtein("a", "b").cast("long").alias("edits"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import miners, object_nets, profile, relations, views
 from ..sources import bpmn
 from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_log, order_ocel, user_log
-from .discovery import DF, HAND, ITEMS, items
+from .discovery import DEP, DF, HAND, ITEMS, items
 from .profiles import PATHS
 from .registry import query
 
@@ -38,9 +38,9 @@ def v9_variant_prefix(spark, d) -> DataFrame:
     return views.variant_edges(order_ocel(spark, d), "Order").where("min_variant <= 3")
 
 
-@query(f"WITH {DAY_SQL}, sq AS (SELECT string_agg(activity, '>' ORDER BY ts, event_id) AS seq FROM log GROUP BY case_id), v AS (SELECT seq, count(*) AS n FROM sq GROUP BY 1), w AS (SELECT seq, n, row_number() OVER (ORDER BY n DESC, seq) AS rank, sum(n) OVER (ORDER BY n DESC, seq ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM v) SELECT rank, seq, n, run / t AS cumulative FROM w WHERE run - n < 0.8 * t")
+@query(f"WITH {DAY_SQL}, sq AS (SELECT list(activity ORDER BY ts, event_id) AS seq FROM log GROUP BY case_id), v AS (SELECT seq, count(*) AS n FROM sq GROUP BY 1), w AS (SELECT seq, n, row_number() OVER (ORDER BY n DESC, seq) AS rank, sum(n) OVER (ORDER BY n DESC, seq ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM v) SELECT rank, array_to_string(seq, '>') AS seq, n, run / t AS cumulative FROM w WHERE run - n < 0.8 * t")
 def v10_variant_list(spark, d) -> DataFrame:
-    return views.variant_list(day_log(spark, d))
+    return views.variant_list(day_log(spark, d)).withColumn("seq", F.array_join("seq", ">"))
 
 
 @query(f"""WITH {FLAT_SQL}, q AS (SELECT DISTINCT event_id, object_id, object_type, epoch_us(ts) AS t FROM r WHERE object_type IN ('Order','Supplier')), li AS (SELECT object_id, min(t) AS a, max(t) AS z FROM q GROUP BY 1), ph AS (SELECT event_id, object_id, object_type, CASE WHEN z > a THEN (t - a) / (z - a) ELSE 0.5 END AS phase FROM q JOIN li USING (object_id)),
@@ -88,10 +88,11 @@ def h13_dense_ids(spark, d) -> DataFrame:
     return views.dense_ids(order_ocel(spark, d).objects, "object_id")
 
 
-@query(f"WITH {USER_SQL}, {DF}, d2 AS (SELECT DISTINCT source, target FROM (SELECT activity AS source, lead(activity) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS target FROM log WHERE case_id = '3') WHERE target IS NOT NULL) SELECT (SELECT count(*) FROM df) AS one, (SELECT count(*) FROM d2) AS two, (SELECT count(*) FROM d2) AS \"both\", (SELECT count(*) FROM d2) / (SELECT count(*) FROM df) AS jaccard")
+@query(f"WITH {LINE_SQL}, {DF}, {DEP}, d2 AS (SELECT source, target FROM (SELECT *, max(dependency) FILTER (WHERE source <> target) OVER (PARTITION BY source) AS bo, max(dependency) FILTER (WHERE source <> target) OVER (PARTITION BY target) AS bi FROM dp) WHERE (source <> target AND (dependency = bo OR dependency = bi)) OR (dependency >= 0.9 AND (source = target OR bo - dependency <= 0.05 OR bi - dependency <= 0.05))) SELECT (SELECT count(*) FROM df) AS one, (SELECT count(*) FROM d2) AS two, (SELECT count(*) FROM df JOIN d2 USING (source, target)) AS \"both\", (SELECT count(*) FROM df JOIN d2 USING (source, target)) / (SELECT count(*) FROM (SELECT source, target FROM df UNION SELECT source, target FROM d2)) AS jaccard")
 def h9_footprint_similarity(spark, d) -> DataFrame:
-    log = user_log(spark, d)
-    return views.footprint_similarity(relations.directly_follows(log), relations.directly_follows(type(log)(log.events.where("case_id = '3'"))))
+    """What was observed against what the dependency net keeps of it, both of the whole log."""
+    log = line_log(spark, d)
+    return views.footprint_similarity(relations.directly_follows(log), relations.kept_dependencies(log))
 
 
 @query(f"WITH {FLAT_SQL} SELECT activity AS other, count(DISTINCT event_id) AS n FROM r WHERE object_type = 'Order' AND activity <> 'place order' AND object_id IN (SELECT object_id FROM r WHERE activity = 'place order') GROUP BY 1 ORDER BY n DESC, other LIMIT 6")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import OCEL, EventLog
@@ -131,6 +131,12 @@ def export(df: DataFrame, path: str, form: str = "csv") -> None:
     writer.option("header", True).csv(path) if form == "csv" else writer.json(path)
 
 
+def utc(text: Column) -> Column:
+    """A time of ISO 8601, with fractions and offset if it has them, as UTC without a zone; one without offset is UTC."""
+    zoned = text.rlike(r"T.*(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp").cast("timestamp_ntz"))
+
+
 def read_xes(spark, path: str) -> EventLog:
     """Events of an XES file's traces: concept:name, time:timestamp, org:resource."""
     traces = spark.read.format("xml").option("rowTag", "trace").schema(
@@ -139,6 +145,6 @@ def read_xes(spark, path: str) -> EventLog:
     value = lambda col, key: F.get(F.filter(col, lambda x: x["_key"] == key), 0)["_value"]
     flat = traces.select(value("string", "concept:name").alias("case_id"), F.posexplode("event").alias("n", "e"))
     return EventLog(flat.select(
-        "case_id", value("e.string", "concept:name").alias("activity"), F.to_timestamp_ntz(F.substring(value("e.date", "time:timestamp"), 1, 19)).alias("ts"),
+        "case_id", value("e.string", "concept:name").alias("activity"), utc(value("e.date", "time:timestamp")).alias("ts"),
         F.concat_ws("#", "case_id", F.lpad(F.col("n").cast("string"), 10, "0")).alias("event_id"), value("e.string", "org:resource").alias("resource"),
     ))
