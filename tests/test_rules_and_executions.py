@@ -219,3 +219,15 @@ def test_pairs_of_reassigned_work(spark):
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - set(all_sql())))
 def test_queries_without_sql_have_rows(name, spark, data):
     assert len(spark_rows(all_queries()[name](spark, data))[1]) > 0
+
+
+def test_alpha_places_by_all_sets(spark, data):
+    from tracewright.plans.discovery import year_log
+
+    rel = {(r.a, r.b): r.relation for r in relations.footprint(year_log(spark, data)).collect()}
+    names = sorted({a for a, _ in rel if rel[a, a] == "#"})
+    sets = [set(c) for k in range(1, len(names) + 1) for c in itertools.combinations(names, k) if all(rel[x, y] == "#" for x in c for y in c)]
+    good = [(a, b) for a in sets for b in sets if all(rel[x, y] == "->" for x in a for y in b)]
+    top = [p for p in good if not any(q != p and p[0] <= q[0] and p[1] <= q[1] for q in good)]
+    got = all_queries()["g3_alpha_places"](spark, data).collect()
+    assert sorted((sorted(r.inputs), sorted(r.outputs)) for r in got) == sorted((sorted(a), sorted(b)) for a, b in top) and got

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import micros
+from ..model import EventLog, micros
 from ..operators import miners, profile, relations
 from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, USER_SQL, day_log, line_log, order_ocel, table, user_log
 from .registry import query
@@ -37,9 +37,16 @@ def g3_footprint(spark, d) -> DataFrame:
     return relations.footprint(line_log(spark, d))
 
 
+def year_log(spark, d) -> EventLog:
+    """A case for each customer, its events the years in which it ordered."""
+    o = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.min("o_orderdate").alias("ts"))
+    case = F.col("o_custkey").cast("string")
+    return EventLog(o.select(case.alias("case_id"), F.col("y").cast("string").alias("activity"), "ts", F.concat_ws(":", case, F.col("y")).alias("event_id")))
+
+
 @query()
 def g3_alpha_places(spark, d) -> DataFrame:
-    return miners.alpha_places(spark, relations.footprint(line_log(spark, d), 2000))
+    return miners.alpha_places(spark, relations.footprint(year_log(spark, d)))
 
 
 DEP = "dp AS (SELECT x.source, x.target, x.n, coalesce(y.n, 0) AS back, CASE WHEN x.source = x.target THEN x.n / (x.n + 1) ELSE (x.n - coalesce(y.n, 0)) / (x.n + coalesce(y.n, 0) + 1) END AS dependency FROM df x LEFT JOIN df y ON y.source = x.target AND y.target = x.source)"

@@ -154,7 +154,7 @@ def f25_first_after(spark, d) -> DataFrame:
     return profile.first_after(order_ocel(spark, d), "Order", "place order", "ship")
 
 
-@query()
+@query(f"WITH {FLAT_SQL}, {AB}, a AS (SELECT object_id, us, row_number() OVER (PARTITION BY object_id ORDER BY us) AS i FROM q WHERE activity = 'place order'), b AS (SELECT b.object_id, b.us, row_number() OVER (PARTITION BY b.object_id ORDER BY b.us, b.event_id) AS k FROM q b JOIN a ON a.object_id = b.object_id AND a.i = 1 AND b.us > a.us WHERE b.activity = 'ship') SELECT a.object_id, a.i AS k, b.us - a.us AS delta_us FROM a JOIN b ON a.object_id = b.object_id AND a.i = b.k")
 def f25_next_after(spark, d) -> DataFrame:
     return profile.next_after(order_ocel(spark, d), "Order", "place order", "ship")
 
