@@ -7,8 +7,8 @@ the stronger the closer they lie in the document tree. A maximum flow finds the
 side are the article.
 
 The classifier is fitted to pages that mark their article by an element: their blocks inside and outside are the two
-classes, and that mark is no feature. The sample is bounded (``FIT_PAGES`` pages, by a hash of the url and the html's
-length); without such pages hand-set weights stand in.
+classes, and that mark is no feature. The sample is of bounded expected size (``FIT_PAGES`` pages, by a hash of the url and
+the html's length); without such pages hand-set weights stand in.
 
 Class and id names that are common for boilerplate lower a block's score, and a block with enough prose outweighs them.
 They count nothing on elements that hold the page's main text (<main>, an article that is not small beside the page's
@@ -58,7 +58,7 @@ DEEPEST = 512
 #: What elements say of a block, in log-odds, and the weights of the smoothness edges; capacities are whole 1 / UNITths.
 INSIDE, OUTSIDE, NEVER_CONTENT = 4.0, -2.5, -8.0
 NEXT, SIBLING, UNIT = 1.0, 0.8, 1000
-#: Pages that the classifier is fitted to at most, those that have to be there, its ridge penalty and its widest score.
+#: Pages that the classifier is fitted to (expected), those that have to be there, its ridge penalty and its widest score.
 FIT_PAGES, LEAST_PAGES, PENALTY, WIDEST = 300, 20, 1.0, 4.0
 MOST_WORDS = 40
 KINDS = {"p": "text", "blockquote": "quote", "pre": "quote", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell"}
@@ -275,9 +275,11 @@ def fitted(pages: list[str]) -> np.ndarray | None:
 
 
 def learn(pages: DataFrame, most: int = FIT_PAGES) -> np.ndarray:
-    """Weights for a table of pages, from ``most`` of them at most."""
-    marked = pages.select(F.col("html"), F.xxhash64(F.col("url").cast("string"), F.length("html")).alias("h")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    got = fitted([r[0] for r in marked.orderBy("h", "html").limit(most).select("html").collect()])
+    """Weights for a table of pages, from about ``most`` of those that mark their article, or all if there are fewer."""
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    n = marked.count()
+    draw = F.pmod(F.xxhash64(F.col("url").cast("string"), F.length("html"), F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    got = fitted([r[0] for r in marked.where(draw < min(1.0, most / n)).select("html").collect()]) if n else None
     return BY_HAND if got is None else got
 
 
