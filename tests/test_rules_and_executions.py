@@ -231,3 +231,19 @@ def test_alpha_places_by_all_sets(spark, data):
     top = [p for p in good if not any(q != p and p[0] <= q[0] and p[1] <= q[1] for q in good)]
     got = all_queries()["g3_alpha_places"](spark, data).collect()
     assert sorted((sorted(r.inputs), sorted(r.outputs)) for r in got) == sorted((sorted(a), sorted(b)) for a, b in top) and got
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_of_tables_are_those_of_counters(spark, seed):
+    from collections import Counter
+
+    from tracewright.operators import miners
+
+    rng = random.Random(seed)
+    if seed < 3:
+        log = Counter("".join(rng.choices("abcd", k=rng.randint(0, 5))) for _ in range(25))
+    else:
+        log = Counter(rng.choice(["abcd", "acbd", "aed", "abcbcd", "aebcd", ""][: seed]) for _ in range(25))
+    v = spark.createDataFrame([(list(t), n) for t, n in log.items()], "seq array<string>, n long")
+    for noise in (0.0, 0.2):
+        assert miners.mine_table(v, noise, few=0) == miners.mine(Counter({tuple(t): n for t, n in log.items()}), noise)

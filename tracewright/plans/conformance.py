@@ -14,17 +14,17 @@ from .transforms import ABLATE
 
 def day_net(spark, d) -> miners.Net:
     """The net mined from the day log."""
-    return miners.tree_to_net(miners.mine(miners.collected(relations.variants(day_log(spark, d))), 0.2))
+    return miners.tree_to_net(miners.mine_table(relations.variants(day_log(spark, d)), 0.2))
 
 
 @query()
 def h1_alignments(spark, d) -> DataFrame:
-    return conform.alignments(relations.variants(day_log(spark, d)).repartition(8), day_net(spark, d))
+    return conform.alignments(relations.variants(day_log(spark, d)).repartition("seq"), day_net(spark, d))
 
 
 @query()
 def h2_token_replay(spark, d) -> DataFrame:
-    return conform.token_replay(relations.variants(day_log(spark, d)).repartition(8), day_net(spark, d))
+    return conform.token_replay(relations.variants(day_log(spark, d)).repartition("seq"), day_net(spark, d))
 
 
 @query(f"WITH {DAY_SQL}, {RULE} SELECT 'response' AS template, a, b, activations, response AS violations, response = 0 AS holds FROM rc UNION ALL SELECT 'precedence', a, b, activations, preceded, preceded = 0 FROM rc")

@@ -76,7 +76,7 @@ def g7_self_distance(spark, d) -> DataFrame:
 
 @query()
 def g8_tree_to_net(spark, d) -> DataFrame:
-    return miners.net_table(spark, miners.tree_to_net(miners.mine(miners.collected(relations.variants(day_log(spark, d))), 0.2)))
+    return miners.net_table(spark, miners.tree_to_net(miners.mine_table(relations.variants(day_log(spark, d)), 0.2)))
 
 
 LB = "lb AS (" + " UNION ALL ".join(f"SELECT {k} AS distance, lag(activity, {k}) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS source, activity AS target FROM log" for k in range(1, 6)) + ")"

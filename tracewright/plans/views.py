@@ -128,5 +128,5 @@ def h6_object_replay(spark, d) -> DataFrame:
 
 @query()
 def h17_tree_to_bpmn(spark, d) -> DataFrame:
-    model = bpmn.from_tree(miners.mine(miners.collected(relations.variants(day_log(spark, d))), 0.2))
+    model = bpmn.from_tree(miners.mine_table(relations.variants(day_log(spark, d)), 0.2))
     return bpmn.table(spark, bpmn.from_xml(bpmn.to_xml(model)))
