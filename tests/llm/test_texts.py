@@ -206,6 +206,16 @@ def test_media_round_trip(odd_docs, no_docs):
     assert media_chunks.read_media(*media_chunks.write_media(no_docs)).count() == 0
 
 
+def test_chunks_taken_for_shared_by_mistake_are_kept(spark):
+    """In a filter that is too small most chunks look shared."""
+    rng = random.Random(12)
+    docs = [(k, "".join(rng.choices("abcdefgh ", k=6000))) for k in range(60)]
+    written = media_chunks.write_media(spark.createDataFrame(docs + docs[:5], "doc_id long, text string").repartition(6), most_bits=1 << 6)
+    assert written[1].count() > 100
+    got = media_chunks.read_media(*written).collect()
+    assert sorted(r.payload_sha256 for r in got) == sorted(hashlib.sha256(media_chunks.payload(t)[1]).hexdigest() for _, t in docs + docs[:5])
+
+
 def test_cuts_follow_the_content():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 256, 60_000, np.uint8).tobytes()

@@ -73,7 +73,7 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def in_filter(words: np.ndarray, key: bytes, salt: int = 0) -> bool:
-    """Whether a Bloom filter may hold a digest, or a digest with the id of a document."""
+    """Whether a Bloom filter may hold a digest with that salt."""
     at = (np.frombuffer(key, "<u4") + np.uint32(salt * 0x9E3779B1 & 0xFFFFFFFF)) % np.uint32(len(words) * 64)
     return all(int(words[p >> 6]) >> (p & 63) & 1 for p in at.tolist())
 
@@ -93,47 +93,49 @@ def listed(record: bytes) -> list[tuple[bytes, int]]:
     return list(struct.iter_unpack("<16sI", record[8:]))
 
 
-def shared_filters(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Bloom filters of the digests that occur more than once, and of each with the smallest id of its documents, which
-    sends the chunk; ``most_bits`` / 64 words of each reach the driver at most."""
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(d, doc) for doc, t in zip(b.column(0).to_pylist(), b.column(1)) for d, _ in chunks(payload(t.as_py())[1])]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.binary()), pa.array([doc or 0 for _, doc in found], pa.int64())], names=["digest", "doc_id"])
-
-    counted = mapped(_texts(docs), digests, "digest binary, doc_id long").groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    often = stored(counted.where("n > 1").select("digest", "doc_id"), "often")
-    bits = min(most_bits, max(LEAST_BITS, 1 << (PER_KEY * often.count()).bit_length()))
+def bloom(keys: DataFrame, most_bits: int) -> np.ndarray:
+    """Bloom filter of (digest, salt), sized by their number; ``most_bits`` / 64 words reach the driver at most."""
+    bits = min(most_bits, max(LEAST_BITS, 1 << (PER_KEY * keys.count()).bit_length()))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            plain = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, 4)
             salt = np.array([x * 0x9E3779B1 & 0xFFFFFFFF for x in b.column(1).to_pylist()], np.uint32)
-            for which, key in enumerate((plain, plain + salt[:, None])):
-                at = (key % np.uint32(bits)).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["which", "word", "bit"])
+            at = ((np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").reshape(-1, 4) + salt[:, None]) % np.uint32(bits)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((at & 63).astype(np.int32))], names=["word", "bit"])
+
+    out = np.zeros(bits // 64, np.uint64)
+    rows = mapped(keys.select("digest", "salt"), words, "word int, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
+    out[rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
+    return out
+
 
-    out = np.zeros((2, bits // 64), np.uint64)
-    rows = mapped(often, words, "which int, word int, bit int").groupBy("which", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("w")).toPandas()
-    out[rows.which.to_numpy(), rows.word.to_numpy()] = rows.w.to_numpy(np.int64).view(np.uint64)
-    return out[0], out[1]
+def shared_filter(docs: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Filter of the digests that occur more than once."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [d for t in b.column(1) for d, _ in chunks(payload(t.as_py())[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["digest"])
+
+    counted = mapped(_texts(docs), digests, "digest binary").groupBy("digest").agg(F.count("*").alias("n"))
+    return bloom(stored(counted.where("n > 1").select("digest", F.lit(0).alias("salt")), "often"), most_bits)
 
 
-DOC = "row_id long, doc_id long, n_bytes long, list_key binary, list binary, shared array<boolean>, n_shared int, own binary, digest binary, chunk binary"
+DOC = "row_id long, doc_id long, n_bytes long, list_key binary, list binary, shared array<boolean>, n_shared int, own binary, digest binary, chunk binary, part int"
 
 
 def write_media(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """Store the payloads and return what was written: (chunk lists with own chunks, shared chunks)."""
-    words = docs.sparkSession.sparkContext.broadcast(shared_filters(docs, most_bits))
+    sc = docs.sparkSession.sparkContext
+    words = sc.broadcast(shared_filter(docs, most_bits))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents, and a row of each shared chunk from the first of its documents by id."""
-        (w, first), part, n, sent = words.value, TaskContext.get().partitionId(), 0, set()
+        """Rows of documents, and rows of shared chunks that this task has not sent yet."""
+        w, part, n, sent = words.value, TaskContext.get().partitionId(), 0, set()
         names = [f.split()[0] for f in DOC.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.bool_()), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -141,19 +143,29 @@ def write_media(docs: DataFrame, most_bits: int = MOST_BITS) -> tuple[DataFrame,
                 got = chunks(data)
                 flags = [in_filter(w, d) for d, _ in got]
                 record = chunk_list(got)
-                rows.append((part << 40 | n, doc, size, digest(struct.pack("<q", size) + record), record, flags, sum(flags), b"".join(c for (_, c), f in zip(got, flags) if not f), None, None))
+                rows.append((part << 40 | n, doc, size, digest(struct.pack("<q", size) + record), record, flags, sum(flags), b"".join(c for (_, c), f in zip(got, flags) if not f), None, None, None))
                 for (d, c), f in zip(got, flags):
-                    if f and d not in sent and in_filter(first, d, doc or 0):
+                    if f and d not in sent:
                         sent.add(d)
-                        rows.append((*[None] * 8, d, c))
+                        rows.append((*[None] * 8, d, c, part))
                 n += 1
             if len(sent) > 1_000_000:
                 sent.clear()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), kinds)], names=names)
 
     both = stored(mapped(_texts(docs), lists, DOC), "media")
-    shared = stored(both.where("digest is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks")
-    return both.where("row_id is not null").drop("digest", "chunk"), shared
+    sent = both.where("digest is not null")
+    # One task's copy of each chunk is enough: a filter of the chosen ones spares the others the shuffle.
+    chosen = sc.broadcast(bloom(stored(sent.groupBy("digest").agg(F.min("part").alias("salt")), "chosen"), most_bits))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = chosen.value
+        for b in batches:
+            yield b.filter(pa.array([in_filter(w, d, part) for d, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist())], pa.bool_())).select(["digest", "chunk"])
+
+    one = mapped(sent.select("digest", "chunk", "part"), first, "digest binary, chunk binary")
+    shared = stored(one.groupBy("digest").agg(F.first("chunk").alias("chunk")), "chunks")
+    return both.where("row_id is not null").drop("digest", "chunk", "part"), shared
 
 
 MEDIA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
