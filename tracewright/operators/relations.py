@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EventLog, in_order, micros, ratio
+from .declare import per_activity
 
 
 def directly_follows(log: EventLog, min_frequency: int = 1) -> DataFrame:
@@ -110,14 +111,14 @@ def rule_counts(log: EventLog) -> DataFrame:
 
     Response a -> b is violated by each a after the last b; precedence by each b before the first a.
     """
-    e = log.events.select("case_id", "activity", F.row_number().over(in_order("case_id")).alias("pos"), F.lead("activity").over(in_order("case_id")).alias("next"))
-    p = positions(log)
+    p = per_activity(log)
     total = p.groupBy("activity").agg(F.sum("k").alias("n"), F.count("*").alias("cases"))
-    other = p.select("case_id", F.col("activity").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
-    met = e.join(other, "case_id").where("activity <> b")
-    sat = met.groupBy(F.col("activity").alias("a"), "b").agg(
-        F.count_if(F.col("b_last") > F.col("pos")).alias("response_ok"), F.count_if(F.col("b_first") < F.col("pos")).alias("precedence_ok"),
-        F.count("*").alias("existence_ok"), F.count_if(F.col("next") == F.col("b")).alias("chain_ok"), F.countDistinct("case_id").alias("both"),
+    mine = p.select("case_id", F.col("activity").alias("a"), F.col("at").alias("at_a"), "k")
+    other = p.select("case_id", F.col("activity").alias("b"), F.col("at").alias("at_b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"))
+    where = lambda c: F.sum(F.size(F.filter("at_a", c)))
+    sat = mine.join(other, "case_id").where("a <> b").groupBy("a", "b").agg(
+        where(lambda t: t < F.col("b_last")).alias("response_ok"), where(lambda t: t > F.col("b_first")).alias("precedence_ok"),
+        F.sum("k").alias("existence_ok"), F.sum(F.size(F.array_intersect(F.transform("at_a", lambda t: t + 1), "at_b"))).alias("chain_ok"), F.count("*").alias("both"),
     )
     names = total.select(F.col("activity").alias("a"), "n", "cases")
     grid = names.crossJoin(F.broadcast(total.select(F.col("activity").alias("b"), F.col("cases").alias("b_cases")))).where("a <> b")  # pairs of names
