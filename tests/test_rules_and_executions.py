@@ -247,3 +247,25 @@ def test_trees_of_tables_are_those_of_counters(spark, seed):
     v = spark.createDataFrame([(list(t), n) for t, n in log.items()], "seq array<string>, n long")
     for noise in (0.0, 0.2):
         assert miners.mine_table(v, noise, few=0) == miners.mine(Counter({tuple(t): n for t, n in log.items()}), noise)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_reduced_nets_accept_the_same_words(seed):
+    from tracewright.operators import miners
+
+    rng = random.Random(seed)
+    net = miners.tree_to_net(miners.reduced(conform.random_tree(4, seed)))
+    top = max(net.places()) + 1
+    # Places that never matter: a copy of one with its marks, and a pool that a transition takes from and gives back.
+    copy = rng.choice(sorted(net.places()))
+    wide = lambda ps: (*ps, *([top] if copy in ps else []))
+    k = rng.randrange(len(net.transitions))
+    ts = [(x, (*wide(a), *([top + 1] if j == k else [])), (*wide(b), *([top + 1] if j == k else []))) for j, (x, a, b) in enumerate(net.transitions)]
+    wider = miners.Net([*ts, (None, (0,), (0,)), ts[0]], (*wide(net.initial), top + 1), (*wide(net.final), top + 1))
+    small = conform.simplified(wider)
+    assert len(small.transitions) <= len(net.transitions) and len(small.places()) <= len(net.places())
+    names = sorted({x for x, _, _ in net.transitions if x})
+    one, two = conform.Player(net), conform.Player(small)
+    for n in range(5):
+        for word in itertools.product(names, repeat=n):
+            assert (one.align(word)[0] == 0) == (two.align(word)[0] == 0), word

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import count
 
@@ -211,24 +211,71 @@ def soundness(spark: SparkSession, net: Net) -> DataFrame:
     return spark.createDataFrame(rows, "property string, holds boolean")
 
 
+Arcs = list[tuple[str | None, tuple[int, ...], tuple[int, ...]]]
+
+
+def _no_ops_and_doubles(ts: Arcs, fixed: tuple[Counter, Counter]) -> Arcs | None:
+    """Without silent transitions that change nothing, and transitions that another equals."""
+    out = list(dict.fromkeys(t for t in ts if t[0] is not None or t[1] != t[2]))
+    return out if len(out) < len(ts) else None
+
+
+def _series_places(ts: Arcs, fixed: tuple[Counter, Counter]) -> Arcs | None:
+    """A place whose tokens can only go on, silently, to one other place is that place."""
+    for k, (label, a, b) in enumerate(ts):
+        if label is not None or len(a) != 1 or len(b) != 1 or a == b or a[0] in fixed[0] or a[0] in fixed[1]:
+            continue
+        rest = ts[:k] + ts[k + 1 :]
+        if any(a[0] in t[1] or {a[0], b[0]} <= set(t[2]) for t in rest):
+            continue
+        return [(x, i, tuple(sorted(b[0] if p == a[0] else p for p in o))) for x, i, o in rest]
+    return None
+
+
+def _series_transitions(ts: Arcs, fixed: tuple[Counter, Counter]) -> Arcs | None:
+    """Two transitions that only ever fire one after the other, one of them silent, are one."""
+    for p in sorted({p for t in ts for p in (*t[1], *t[2])} - set(fixed[0]) - set(fixed[1])):
+        makers, users = ([t for t in ts if p in t[side]] for side in (2, 1))
+        if len(makers) == len(users) == 1 and makers[0] is not users[0] and makers[0][2] == (p,) == users[0][1] and None in (makers[0][0], users[0][0]):
+            one = (makers[0][0] or users[0][0], makers[0][1], users[0][2])
+            return [one if t is makers[0] else t for t in ts if t is not users[0]]
+    return None
+
+
+def _needless_places(ts: Arcs, fixed: tuple[Counter, Counter]) -> Arcs | None:
+    """Without a place that never matters: always held by all that use it, or never holding less than another place
+    that constrains at least as much, at a fixed distance and marked alike at the end (equal places among them)."""
+    initial, final = fixed
+    places = sorted({p for t in ts for p in (*t[1], *t[2])})
+
+    def gone(p: int) -> Arcs:
+        for c in fixed:
+            del c[p]
+        return [(x, tuple(q for q in i if q != p), tuple(q for q in o if q != p)) for x, i, o in ts]
+
+    for p in places:
+        mine = [(t[1].count(p), t[2].count(p)) for t in ts]
+        more = lambda c: any(q != p for q in c) or p not in c  # noqa: B023, E731
+        if not more(initial) or not more(final):
+            continue  # some place has to be marked
+        if initial[p] == final[p] >= 1 and all(i == o <= initial[p] for i, o in mine) and all(len(set(t[1])) > 1 or p not in t[1] for t in ts):
+            return gone(p)
+        for q in places:
+            if q != p and initial[p] - initial[q] == final[p] - final[q] >= 0 and all(i <= t[1].count(q) and o - i == t[2].count(q) - t[1].count(q) for (i, o), t in zip(mine, ts)):
+                return gone(p)
+    return None
+
+
 def simplified(net: Net) -> Net:
-    """Language-preserving reduction: silent series fused, duplicate transitions and silent self-loops dropped."""
-    ts = list(dict.fromkeys((label, tuple(sorted(a)), tuple(sorted(b))) for label, a, b in net.transitions))
-    ts = [t for t in ts if not (t[0] is None and t[1] == t[2])]
-    fixed = {*net.initial, *net.final}
-    changed = True
-    while changed:
-        changed = False
-        for k, (label, a, b) in enumerate(ts):
-            if label is None and len(a) == len(b) == 1 and a != b:
-                makers = [t for j, t in enumerate(ts) if j != k and a[0] in t[2]]
-                users = [t for j, t in enumerate(ts) if j != k and a[0] in t[1]]
-                if a[0] not in fixed and not users and makers:  # the place before only feeds this transition
-                    sub = lambda ps: tuple(sorted(b[0] if p == a[0] else p for p in ps))  # noqa: B023, E731
-                    ts = list(dict.fromkeys((x, sub(i), sub(o)) for j, (x, i, o) in enumerate(ts) if j != k))
-                    changed = True
-                    break
-    return Net(ts, net.initial, net.final)
+    """The same language with fewer places and transitions: silent no-ops, equal transitions, series of places and of
+    transitions, places that never matter (self-loops, equal and implicit ones), until no rule fires. Places without
+    arcs are not part of a net."""
+    ts = [(label, tuple(sorted(a)), tuple(sorted(b))) for label, a, b in net.transitions]
+    fixed = Counter(net.initial), Counter(net.final)
+    rules = (_no_ops_and_doubles, _series_places, _series_transitions, _needless_places)
+    while (new := next((x for rule in rules if (x := rule(ts, fixed)) is not None), None)) is not None:
+        ts = new
+    return Net(ts, tuple(sorted(fixed[0].elements())), tuple(sorted(fixed[1].elements())))
 
 
 def check_rules(log: EventLog, rules: DataFrame) -> DataFrame:
