@@ -350,6 +350,27 @@ def ranking_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("*").alias("gaps"), hit(1), hit(3), hit(5), hit(10), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
+def ranking_by_type(ranks: DataFrame, objects: DataFrame) -> DataFrame:
+    """(object_type, gaps, hits_1, hits_10, mrr) of ranked gaps by the type of the missing object."""
+    hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"hits_{k}")
+    return ranks.join(objects, "object_id").groupBy("object_type").agg(F.count("*").alias("gaps"), hit(1), hit(10), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+
+
+def rank_histogram(ranks: DataFrame) -> DataFrame:
+    """(bucket, n): gaps by the rank of their object: 1, 2-3, 4-5, 6-10, over 10, none."""
+    r = F.col("rank")
+    bucket = F.when(r.isNull(), "none").when(r <= 1, "1").when(r <= 3, "2-3").when(r <= 5, "4-5").when(r <= 10, "6-10").otherwise("over 10")
+    return ranks.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def precision_at(ranks: DataFrame, k: int) -> DataFrame:
+    """One row: precision, recall and F1 of the first ``k`` candidates of every event against the objects it lost."""
+    e = ranks.groupBy("event_id").agg(F.count_if(F.col("rank") <= k).alias("hits"), F.count("*").alias("lost"))
+    s = e.agg(F.sum("hits").alias("h"), (F.count("*") * k).alias("shown"), F.sum("lost").alias("lost"))
+    p, r = F.col("h") / F.col("shown"), F.col("h") / F.col("lost")
+    return s.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
 def play_out(spark: SparkSession, net: Net, cases: int, seed: int = 42, most: int = 200) -> DataFrame:
     """(case_id, pos, activity, ended): random runs of a net, each from its own seed.
 

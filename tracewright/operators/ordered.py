@@ -26,3 +26,11 @@ def numbered(df: DataFrame, *order: Column | str, running: str | None = None, gr
     if running:
         out = out.withColumn("running", F.col("_w") + F.sum("_weight").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return out.drop("_range", "_weight", "_n", "_w")
+
+
+def top_of_each(df: DataFrame, by: list[str], most: int, *order: Column | str, salt: str, salts: int = 64) -> DataFrame:
+    """The first ``most`` rows of each group with their ``rank``; groups are cut by a hash of ``salt`` first, so that no
+    task gathers a large one."""
+    part = F.pmod(F.xxhash64(salt), F.lit(salts))
+    first = df.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("rank") <= most).drop("_part", "rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= most)

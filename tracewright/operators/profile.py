@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import OCEL, EventLog, in_order, micros, ratio
 from .olap import relations
+from .ordered import top_of_each
 
 
 def entity_stream(log: EventLog) -> DataFrame:
@@ -309,3 +310,12 @@ def numeric_summary(values: DataFrame, column: str, bins: int = 20) -> DataFrame
     s = v.agg(F.min("v").alias("low"), F.percentile_approx("v", 0.5, 1_000_000).alias("mid"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.countDistinct("v").alias("distinct"))
     b = v.crossJoin(F.broadcast(s)).withColumn("bin", F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), (F.col("high") - F.col("low")) / bins)), F.lit(bins - 1)))  # one row of bounds
     return b.groupBy(F.coalesce("bin", F.lit(0)).cast("int").alias("bin"), "low", "mid", "high", "mean", "distinct").agg(F.count("*").alias("n"))
+
+
+def lifecycle_tops(log: OCEL, activities: int = 5, variants: int = 4) -> DataFrame:
+    """(object_type, kind, name, n, rank): the commonest activities and variants of each type."""
+    r = relations(log).select("object_type", "event_id", "object_id", "activity").distinct()
+    a = r.groupBy("object_type", F.col("activity").alias("name")).agg(F.count("*").alias("n"))
+    v = life_paths(log).groupBy("object_type", F.col("path").alias("name")).agg(F.count("*").alias("n"))
+    top = lambda df, kind, most: top_of_each(df, ["object_type"], most, F.desc("n"), "name", salt="name").select("object_type", F.lit(kind).alias("kind"), "name", "n", "rank")
+    return top(a, "activity", activities).unionAll(top(v, "variant", variants))

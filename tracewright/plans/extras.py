@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import cardinality, executions, profile, relations, views
+from ..operators import cardinality, conform, executions, olap, profile, relations, views
 from ..sources import catalog
 from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_log, order_ocel, table, user_log
+from .conformance import RECON
 from .discovery import DEP, DF, HAND, ITEMS, items
-from .profiles import AB, PHASE, STREAM
+from .profiles import AB, PATHS, STREAM
 from .registry import query
 
 
@@ -202,3 +203,29 @@ def g33_attributed_edges(spark, d) -> DataFrame:
 def v11_execution_partition(spark, d) -> DataFrame:
     log = order_ocel(spark, d)
     return executions.partition(log, executions.by_leading_type(log, "Order"))
+
+
+@query(f"""WITH {FLAT_SQL}, {PATHS}, a AS (SELECT object_type, activity AS name, count(*) AS n FROM (SELECT DISTINCT object_type, event_id, object_id, activity FROM r) GROUP BY 1, 2), v AS (SELECT object_type, path AS name, count(*) AS n FROM pt GROUP BY 1, 2)
+SELECT object_type, 'activity' AS kind, name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY n DESC, name) AS rank FROM a) WHERE rank <= 5 UNION ALL SELECT object_type, 'variant', name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY n DESC, name) AS rank FROM v) WHERE rank <= 4""")
+def f35_lifecycle_tops(spark, d) -> DataFrame:
+    return profile.lifecycle_tops(order_ocel(spark, d))
+
+
+def _ranks(spark, d) -> DataFrame:
+    log = order_ocel(spark, d)
+    return conform.reconstruct(log, olap.ablate(log))
+
+
+@query(f"WITH {OCEL_SQL}, {RECON} SELECT object_type, count(*) AS gaps, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS hits_1, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS hits_10, avg(coalesce(1.0 / rank, 0.0)) AS mrr FROM dr LEFT JOIN rr USING (event_id, object_id) JOIN ob USING (object_id) GROUP BY 1")
+def h11_by_type(spark, d) -> DataFrame:
+    return conform.ranking_by_type(_ranks(spark, d), order_ocel(spark, d).objects)
+
+
+@query(f"WITH {OCEL_SQL}, {RECON} SELECT CASE WHEN rank IS NULL THEN 'none' WHEN rank <= 1 THEN '1' WHEN rank <= 3 THEN '2-3' WHEN rank <= 5 THEN '4-5' WHEN rank <= 10 THEN '6-10' ELSE 'over 10' END AS bucket, count(*) AS n FROM dr LEFT JOIN rr USING (event_id, object_id) GROUP BY 1")
+def h11_histogram(spark, d) -> DataFrame:
+    return conform.rank_histogram(_ranks(spark, d))
+
+
+@query(f"WITH {OCEL_SQL}, {RECON}, e AS (SELECT event_id, count(*) FILTER (WHERE rank <= 5) AS hits, count(*) AS lost FROM dr LEFT JOIN rr USING (event_id, object_id) GROUP BY 1), pr5 AS (SELECT sum(hits) / (count(*) * 5) AS p, sum(hits) / sum(lost) AS r FROM e) SELECT p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM pr5")
+def h11_precision_at_5(spark, d) -> DataFrame:
+    return conform.precision_at(_ranks(spark, d), 5)
