@@ -357,3 +357,21 @@ def test_predictions_replace_columns_of_their_names(spark, odd_docs):
     assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "fr", 2: "und", 3: "und"}
     df = df.withColumn("lang", F.lit("fr"))
     assert lang_cnn.keep_known(df).columns == df.columns and lang_cnn.keep_known(df).count() <= 3
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_stages_on_odd_tables(spark, odd_docs, no_docs, empty):
+    import corpus_pipeline
+
+    clash = ["score", "_row", "cid", "id", "text_key", "_spans", "unit", "fp1", "lang_pred", "_gone", "part"]
+    docs = (no_docs if empty else odd_docs.unionByName(odd_docs.limit(2), allowMissingColumns=True))
+    docs = docs.select(*[c for c in docs.columns if c not in clash], *[F.lit(k).alias(c) for k, c in enumerate(clash)])
+    if "lang" not in docs.columns:
+        docs = docs.withColumn("lang", F.when(F.length("text") > 3, "en"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.stored(stage(spark, docs, ""), "stage")
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns and out.count() <= docs.count()
+            assert out.selectExpr(*[f"`{c}` as x{i}" for i, c in enumerate(clash)]).distinct().count() <= 1
+        docs = out
+    assert (docs.count() == 0) >= empty
