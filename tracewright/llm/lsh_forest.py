@@ -280,7 +280,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that link to one of a smaller id, directly or through others."""
-    gone = stored(jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")), "gone").distinct()
+    gone = stored(jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct(), "gone")
+    if gone.count() <= MOST_BROADCAST:  # 16 bytes each; more are joined by a shuffle
+        gone = F.broadcast(gone)
     rows = docs.select(F.struct("*").alias("_row"))
     same = (F.col("_row.doc_id").cast("long") == F.col("_gone")) & (F.xxhash64(F.coalesce(F.col("_row.text"), F.lit(""))) == F.col("_key"))
     return rows.join(gone, same, "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
