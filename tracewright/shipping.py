@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 HERE = Path(__file__).resolve().parent
+#: Rows that a worker holds at once, and the setting of a batch's rows.
+ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once for each context; Spark's file server spreads it."""
+    """Add the package to the session's Python files, once for each context; Spark's file server spreads it.
+
+    Arrow batches get ``ROWS`` rows where the session has not set another number.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_tracewright_shipped", False):
         return
@@ -23,10 +28,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(HERE.parent))
     sc.addPyFile(str(to))
     sc._tracewright_shipped = True
-
-
-#: Rows that a worker holds at once; Spark's own batches can be ten times that.
-ROWS = 1000
+    if spark.conf.get(BATCH) == "10000":  # Spark's own number, which makes batches of long texts large
+        spark.conf.set(BATCH, str(ROWS))
 
 
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
