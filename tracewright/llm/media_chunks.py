@@ -7,7 +7,7 @@ any other stays in its document's row beside the list, so that most bytes never
 to the tasks by a Bloom filter of their number's size, ``MOST_BITS`` at most: a chunk taken for shared by mistake is
 only kept in the other table, so that beyond the bound more bytes move but no result changes. Reading joins the chunk
 lists with the shared chunks, rebuilds each distinct payload once, checks every chunk's digest and computes features of
-the bytes. Chunks and payloads that very many rows have are joined by broadcast, of 1000 at most.
+the bytes. Payloads that very many rows have are joined by broadcast, of 1000 at most.
 
 Nulls: a null text is empty and has 64 zero bytes. Repeated rows and null ids keep their rows; equal texts get equal
 values. An empty table gives an empty result. Other columns are ignored.
@@ -208,7 +208,8 @@ def read_media(documents: DataFrame, shared: DataFrame) -> DataFrame:
     first = some.groupBy("list_key").agg(F.min("row_id").alias("row_id")).select("row_id")
     place = F.posexplode("shared").alias("at", "yes")
     asked = first.join(some.select("row_id", "list", "shared"), "row_id").select("row_id", "list", place).where("yes").select("row_id", "at", F.expr("substring(list, 9 + 20 * at, 16)").alias("digest"))
-    found = popular_join(stored(asked, "asked"), shared, "digest").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))
+    # Each text asks once, so that copies don't make a chunk popular; AQE splits what is left of skew.
+    found = asked.join(shared, "digest").groupBy("row_id").agg(F.collect_list(F.struct("at", "chunk")).alias("others"))
     whole = some.select("row_id", "list_key", "list", "shared", "own").join(found, "row_id")
     each = stored(mapped(whole.select("list_key", "list", "shared", "own", "others"), rebuilt, f"list_key binary, {MEDIA}"), "rebuilt")
     return plain.union(popular_join(some.select("doc_id", "n_bytes", "list_key"), each, "list_key").select("doc_id", "n_bytes", *names))
