@@ -1,0 +1,174 @@
+"""The searches over vectors and terms against brute force and SQL, on odd tables too."""
+
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from conftest import prose  # noqa: F401
+from helpers import duck_rows, spark_rows
+from pyspark.sql import functions as F
+
+from tracewright.llm import ann_forest, annulus_negatives, lexical, queries, sql, vectors
+
+INF, NAN = math.inf, math.nan
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    """Clusters, ties, copies, two lengths, lengths far apart, and rows that take no part."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 10))
+    x = (centres[rng.integers(0, 12, 400)] + 0.2 * rng.normal(size=(400, 10))) * rng.uniform(0.2, 3, 400)[:, None]
+    rows = [(i, v.tolist(), int(rng.integers(0, 4))) for i, v in enumerate(x)]
+    rows += [(1000 + i, x[20].tolist(), i % 3) for i in range(120)]  # copies of one vector under several labels
+    rows += [(2000 + 10 * i, [float(i % 3), 1.0, 0.0], i % 2) for i in range(30)]
+    rows += [rows[100], (100, x[50].tolist(), 1), (3000, None, 1), (3020, [], 1), (3040, [0.0] * 10, 1), (3060, [NAN] * 10, 1), (3080, [1.0, None, 2.0], 1), (3100, [INF, 1.0, 1.0], 1), (3150, x[3].tolist(), None), (None, x[4].tolist(), 1)]
+    rows += [(4000, [-0.5] * 10, 3), (4050, [1e-200] * 3, 1), (4100, [5.0], 1)]
+    return spark.createDataFrame([(i, v, l, 0, "x", 1.0, None) for i, v, l in rows], "vec_id long, embedding array<double>, label int, ask long, unit string, score double, vector string")
+
+
+def usable(df):
+    rows = {(r.vec_id, tuple(r.embedding)) for r in df.collect() if r.vec_id is not None and r.embedding and all(c is not None and math.isfinite(c) for c in r.embedding) and any(r.embedding)}
+    return sorted(rows)
+
+
+def nearest(rows, k):
+    out = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            scored = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v)), key=lambda s: (-s[0], s[1]))[:k]
+            out[q, v] = scored
+    return out
+
+
+def test_forest_against_brute_force(odd_vectors):
+    want = nearest(usable(odd_vectors), 20)
+    got = {}
+    for r in ann_forest.neighbours(odd_vectors).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    ids = {q for q, _ in want}
+    assert set(got) <= ids and {q for (q, _), w in want.items() if w} == set(got)
+    hits = total = 0
+    for q in ids - {100}:  # 100 is two vectors
+        (scored,) = [w for (i, _), w in want.items() if i == q]
+        rows = sorted(got.get(q, []))
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= len(scored)
+        assert [(-s, i) for _, s, i in rows] == sorted((-s, i) for _, s, i in rows)
+        worth = {i: s for s, i in nearest_all(usable(odd_vectors), q)}
+        assert all(abs(worth[i] - s) <= 1e-9 * max(1, abs(s)) for _, s, i in rows)
+        cut = scored[-1][0] - 1e-9 if scored else 0
+        hits += sum(s >= cut for _, s, _ in rows)
+        total += len(scored)
+    assert hits >= 0.9 * total
+
+
+def nearest_all(rows, q):
+    v = next(w for i, w in rows if i == q)
+    return [(sum(a * b for a, b in zip(v, w)), i) for i, w in rows if len(w) == len(v)]
+
+
+def test_forest_with_all_leaves_is_exact(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = usable(e)
+    want = nearest(rows, 7)
+    got = {}
+    for r in ann_forest.neighbours(e, k=7, target=1.0, checked=1000).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in s] for (q, _), s in want.items()}
+
+
+def test_trees_take_their_leaves_nearest_first():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 8))
+    forest = ann_forest.Forest(8, float(np.sqrt((x * x).sum(axis=1)).max()), x, 5)
+    leaves = forest.leaves(x)
+    assert leaves.shape == (500, 4) and set(np.unique(leaves)) <= set(range(32))
+    order = list(forest.search(x[7]))
+    assert len(order) == len(set(order)) == 4 * 32
+    assert np.bincount(leaves[:, 0], minlength=32).max() <= 500 // 32 * 4  # medians part evenly
+
+
+def test_empty_vectors(odd_vectors):
+    none = odd_vectors.limit(0)
+    assert ann_forest.neighbours(none).count() == 0 and annulus_negatives.mine(none).count() == 0
+    assert ann_forest.neighbours(odd_vectors.where("vec_id = 3040")).count() == 0
+    assert ann_forest.neighbours(odd_vectors.where("vec_id in (20, 21)")).count() == 1
+    assert ann_forest.neighbours(odd_vectors.where("vec_id in (21, 22)")).count() == 0
+
+
+def mined(df):
+    rows = sorted({(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, tuple(math.floor(256 * x) for x in r.embedding)) for r in df.collect() if r.vec_id is not None and r.label is not None and r.embedding and all(c is not None and math.isfinite(c) for c in r.embedding)})
+    out = []
+    for a, label, v in rows:
+        if a % 50:
+            continue
+        scored = sorted(((sum(p * q for p, q in zip(v, w)), i, other) for i, other, w in rows if len(w) == len(v)), key=lambda s: (-s[0], s[1]))
+        for ps, p, _ in [s for s in scored if s[2] == label and s[1] != a][:5]:
+            out += [(a, p, n, i, ps, s) for n, (s, i, _) in enumerate([s for s in scored if s[2] != label and 50 * ps <= 100 * s[0] <= 95 * ps][:3], 1)]
+    return sorted(out)
+
+
+def test_negatives_against_brute_force(odd_vectors, monkeypatch):
+    want = mined(odd_vectors)
+    assert len(want) > 100 and sorted(map(tuple, annulus_negatives.mine(odd_vectors).collect())) == want
+    # Small samples and radii: several rounds, whose bounds must hold.
+    monkeypatch.setattr(annulus_negatives, "FIT", 40)
+    monkeypatch.setattr(annulus_negatives, "RADII", (0.05, 0.3, 0.6, 1.0))
+    assert sorted(map(tuple, annulus_negatives.mine(odd_vectors).collect())) == want
+
+
+def test_products_are_exact():
+    big = np.array([[3_000_000_019, -7], [1, 2]], np.int64)
+    assert annulus_negatives.products(big, big).tolist() == [[3_000_000_019**2 + 49, 3_000_000_019 - 14], [3_000_000_019 - 14, 5]]
+    assert annulus_negatives.products(np.array([[1 << 62]]), np.array([[1 << 62]])).tolist() == [[np.iinfo(np.int64).max]]
+
+
+def test_units_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MEMBERS", 7)
+    monkeypatch.setattr(vectors, "ASKS", 3)
+    members = spark.range(50).select("id", (F.col("id") % 2).alias("k"))
+    asks = spark.range(20).select(F.col("id").alias("ask"), F.lit(0).cast("long").alias("k"))
+    rows = vectors.met(members, asks, ["k"], 4).collect()
+    met = [(a.ask, m.id) for a in rows if a.asks for m in rows if not m.asks and m.unit == a.unit]
+    assert sorted(met) == sorted((a, m) for a in range(20) for m in range(0, 50, 2))
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, "ta ren SO li ta"), (1, "ta ren SO li ta"), (1, "another text of the id: one"), (2, None), (3, "?!"), (4, "one 漢字 naïve Œuvre password"), (None, "x one"), (5, "ta " * 3000 + "mar")]
+    return spark.createDataFrame([(i, t, 1, "r") for i, t in rows], "item_id long, text string, rid long, term string")
+
+
+def duck_of(**tables):
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(f"_{name}", df.toArrow())
+        con.execute(f"CREATE TABLE {name} AS FROM _{name}")
+    return con
+
+
+def test_lexical_against_sql(spark, odd_docs, items, no_docs):
+    con = duck_of(documents=odd_docs, benchmark=items)
+    want = duck_rows(con, sql.LEXICAL)
+    assert len(want[1]) > 10
+    assert spark_rows(lexical.ranked_search(odd_docs, items)) == want
+    assert spark_rows(lexical.ranked_search(odd_docs, items, most_terms=3)) == want  # in blocks of items
+    assert lexical.ranked_search(no_docs, items).count() == 0 and lexical.ranked_search(odd_docs, items.limit(0)).count() == 0
+
+
+def test_terms_are_lowered_in_ascii_only(spark):
+    row = spark.createDataFrame([("ABC-ÀÉ İx_9\x00y É́Z", 0)], "text string, rid int").select(F.transform(lexical.words_of(), lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, lexical.CAPITALS, lexical.CAPITALS.lower()))).alias("t")).first()
+    assert row.t == ["abc", "ÀÉ", "İx", "9", "y", "É́z"]
+
+
+@pytest.mark.parametrize("name", ["op12_annulus_negatives", "op13_lexical", "op10_jaccard_join", "op3_chat_collapse"])
+def test_query_against_its_sql(name, spark, data, duck):
+    assert spark_rows(queries.queries()[name](spark, data)) == duck_rows(duck, sql.ORACLE[name])
+
+
+def test_jaccard_sql_on_odd_texts(spark, odd_docs):
+    from tracewright.llm import lsh_forest
+
+    one = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])  # the SQL takes ids for documents
+    assert spark_rows(lsh_forest.jaccard_join(one).drop("text_key")) == duck_rows(duck_of(documents=one), sql.JACCARD)

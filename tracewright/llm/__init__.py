@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-scale components and their registered queries.
+"""Training-data operators: thirteen corpus-scale components and their registered queries.
 
 Nothing outside this subpackage imports it.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, html_mincut, huffman_ids, lang_cnn, lattice_dedup, lsh_forest, media_chunks, packing, secret_scan, sql
+from . import ann_forest, annulus_negatives, byte_bpe, chat, html_mincut, huffman_ids, lang_cnn, lattice_dedup, lexical, lsh_forest, media_chunks, packing, secret_scan, sql
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +49,25 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.jaccard_join(table(spark, sf_dir, "documents"))
+    return lsh_forest.jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")  # a key of the operator's own
+
+
+def op11_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_annulus_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ALL = (
     op1_lattice_dedup, op2_best_fit_packing, op3_chat_collapse, op4_lang_cnn, op5_html_mincut,
     op6_secret_scan, op7_byte_bpe, op8_media_chunks, op9_huffman_ids, op10_jaccard_join,
+    op11_ann_forest, op12_annulus_negatives, op13_lexical,
 )
 
 

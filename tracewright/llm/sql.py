@@ -33,4 +33,23 @@ t AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies, min
 SELECT d.doc_id, least(d.doc_id, coalesce(first, d.doc_id)) AS class_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN t ON t.a = d.doc_id LEFT JOIN c ON c.v = d.doc_id"""
 
-ORACLE = {"op3_chat_collapse": chat.ORACLE_SQL, "op6_secret_scan": SECRETS, "op10_jaccard_join": JACCARD}
+NEGATIVES = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, a.z, b.vec_id, b.label, CASE WHEN len(a.z) = len(b.z) THEN list_sum(list_transform(range(1, len(a.z) + 1), lambda i: a.z[i] * b.z[i]))::BIGINT END AS score FROM v a JOIN v b ON len(a.z) = len(b.z) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, own, z, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id, own, z ORDER BY score DESC, vec_id) AS n FROM s WHERE label = own AND vec_id <> anchor_id) WHERE n <= 5),
+q AS (SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.own, p.z, positive_id, positive_score ORDER BY s.score DESC, s.vec_id) AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.own = p.own AND s.z = p.z AND s.label <> p.own WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM q WHERE rank <= 3"""
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = f"""regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+LEXICAL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+z AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nl FROM d WHERE len(w) > 0),
+p AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS wt FROM p, z GROUP BY t, nd),
+i AS (SELECT iid, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+s AS (SELECT iid, item_id, rid, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nl))))::BIGINT AS score FROM i JOIN p USING (t) JOIN v USING (t), z GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+ORACLE = {"op3_chat_collapse": chat.ORACLE_SQL, "op6_secret_scan": SECRETS, "op10_jaccard_join": JACCARD, "op12_annulus_negatives": NEGATIVES, "op13_lexical": LEXICAL}
