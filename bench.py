@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "g1_directly_follows", "g2_variants", "g3_footprint", "g4_heuristics", "g6_inductive_tree", "g19_rule_counts", "g20_skeleton", "g21_handover", "g27_busy_time",
-    "f2_activity_stats", "f12_performance_spectrum", "f22_multiplicity", "f37_totem", "f38_ocdfg_edges", "b1_flatten", "b7_ablate", "c6_as_of", "h2_token_replay", "h18_structural",
+    "f2_activity_stats", "f12_performance_spectrum", "f22_multiplicity", "f37_totem_cardinalities", "f38_ocdfg_edges", "b1_flatten", "b7_ablate", "c6_as_of", "h2_token_replay", "h18_structural",
 ]
 
 

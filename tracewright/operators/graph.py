@@ -20,7 +20,9 @@ def settled(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
 def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
@@ -57,7 +59,7 @@ def levels(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
     raise RuntimeError("vertices lie farther apart than that many steps")
 
 
-def refine_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 16) -> DataFrame:
+def refine_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(vertex, colour): Weisfeiler-Leman refinement of labelled vertices over directed, labelled edges (u, v, label)."""
     c = nodes.select("vertex", F.sha2(F.col("label"), 256).alias("colour"))
     classes = -1
@@ -68,6 +70,109 @@ def refine_colours(nodes: DataFrame, edges: DataFrame, rounds: int = 16) -> Data
         c = settled(c.join(around, "vertex", "left").select("vertex", F.sha2(F.concat_ws("#", "colour", F.coalesce("around", F.lit(""))), 256).alias("colour")))
         now = c.select("colour").distinct().count()
         if now == classes:
-            break
+            return c
         classes = now
-    return c
+    raise RuntimeError("colours did not settle")
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables that ``settled`` gave and that nothing reads any more."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def least_reaching(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(vertex, label): of each vertex the smallest that can reach it, itself included, over directed edges (u, v)."""
+    labels = settled(edges.select(F.col("u").alias("vertex")).union(edges.select("v")).distinct().withColumn("label", F.col("vertex")))
+    for _ in range(most):
+        heard = edges.join(labels.select(F.col("vertex").alias("u"), "label"), "u").groupBy(F.col("v").alias("vertex")).agg(F.min("label").alias("other"))
+        # A label's own label is as good: what reaches the label reaches the vertex.
+        near = labels.join(heard, "vertex", "left").select("vertex", F.col("label").alias("was"), F.least("label", "other").alias("mid"))
+        far = labels.select(F.col("vertex").alias("mid"), F.col("label").alias("far"))
+        step = settled(near.join(far, "mid", "left").select("vertex", "was", F.least("mid", "far").alias("label")))
+        still = step.where("label <> was").isEmpty()
+        released(labels)
+        labels = step.select("vertex", "label")
+        labels.settled_at = step.settled_at
+        if still:
+            return labels
+    raise RuntimeError("labels did not settle")
+
+
+def strong_components(edges: DataFrame, a: str, b: str, most: int = 10_000) -> DataFrame:
+    """(vertex, component): the smallest vertex of each vertex's strongly connected component.
+
+    Vertices that nothing enters or leaves are trimmed, one layer after the other. Of the rest every vertex gets the
+    smallest that reaches it forwards and backwards; where the two agree they are a component, and edges between vertices
+    with different labels go, as no cycle has them.
+    """
+    e = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct())
+    done = settled(e.select(F.col("u").alias("vertex")).union(e.select("v")).distinct().withColumn("component", F.col("vertex")))
+    e, found = settled(e.where("u <> v")), None
+    for _ in range(most):
+        while True:  # trim
+            inner = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+            inner = settled(inner)
+            if inner.count() == e.count():
+                break
+            e = inner
+        if e.isEmpty():
+            break
+        forth, back = least_reaching(e), least_reaching(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        labels = settled(forth.join(back.select("vertex", F.col("label").alias("other")), "vertex"))
+        part = settled(labels.where("label = other").select("vertex", F.col("label").alias("component")))
+        found = part if found is None else found.unionAll(part)
+        left = labels.select(F.col("vertex").alias("u"), F.struct("label", "other").alias("lu"))
+        right = labels.select(F.col("vertex").alias("v"), F.struct("label", "other").alias("lv"))
+        e = settled(e.join(left, "u").join(right, "v").where("lu = lv").join(part.select(F.col("vertex").alias("u")), "u", "left_anti").select("u", "v"))
+    else:
+        raise RuntimeError("components did not settle")
+    if found is None:
+        return done
+    return done.select("vertex").join(found, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
+
+
+def condensed(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(u, v): edges between strongly connected components, which have no cycle."""
+    c = settled(strong_components(edges, a, b))
+    u, v = (c.select(F.col("vertex").alias(x), F.col("component").alias(n)) for x, n in ((a, "u"), (b, "v")))
+    return edges.select(a, b).join(u, a).join(v, b).where("u <> v").select("u", "v").distinct()
+
+
+def closure(edges: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
+    """(u, v): pairs that a path of one or more edges joins, by doubling the paths' lengths."""
+    pairs = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct())
+    n = pairs.count()
+    for _ in range(most):
+        twice = pairs.select("u", F.col("v").alias("m")).join(pairs.select(F.col("u").alias("m"), "v"), "m").select("u", "v")
+        more = settled(pairs.unionAll(twice).distinct())
+        now = more.count()
+        released(pairs)
+        pairs = more
+        if now == n:
+            return pairs
+        n = now
+    raise RuntimeError("the closure did not settle")
+
+
+def longest_paths(edges: DataFrame, a: str, b: str, most: int = 1_000_000) -> DataFrame:
+    """(vertex, length): edges on the longest path that ends in each vertex of a graph without cycles (``condensed``).
+
+    Layer by layer: a vertex goes in the round after the last that enters it, which is that length.
+    """
+    e = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
+    rest, out = settled(e.select(F.col("u").alias("vertex")).union(e.select("v")).distinct()), None
+    for k in range(most):
+        first = settled(rest.join(e.select(F.col("v").alias("vertex")).distinct(), "vertex", "left_anti").withColumn("length", F.lit(k).cast("long")))
+        if first.isEmpty():
+            if not rest.isEmpty():
+                raise ValueError("the graph has a cycle")
+            return out if out is not None else first
+        out = first if out is None else out.unionAll(first)
+        gone = first.select("vertex")
+        was = rest, e
+        rest = settled(rest.join(gone, "vertex", "left_anti"))
+        e = settled(e.join(gone.withColumnRenamed("vertex", "u"), "u", "left_anti").select("u", "v"))
+        released(*was)
+    raise RuntimeError("paths are longer than that many edges")

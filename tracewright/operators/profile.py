@@ -254,27 +254,6 @@ def cardinality_evidence(log: OCEL) -> DataFrame:
     return e.join(total, "source").select("source", "target", F.col("n_obs").alias("n"), "p25", "mid", "p75", F.round(100 * F.col("n_obs") / F.col("total"), 6).alias("support"))
 
 
-def totem(log: OCEL, tau: float = 0.9) -> DataFrame:
-    """Temporal relation of each ordered pair of types, over pairs of objects that share an event or are related.
-
-    D: a's life lies within b's; Di: the other way round; I: a begins and ends before b; Ii: after; P: none of these.
-    The most precise relation with support of at least ``tau`` counts.
-    """
-    r = relations(log).select("event_id", "object_id", "object_type", "ts").distinct()
-    life = r.groupBy("object_id", "object_type").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
-    x, y = (r.select("event_id", F.col("object_id").alias(f"id_{s}")) for s in "xy")
-    together = x.join(y, "event_id").where("id_x <> id_y").select("id_x", "id_y")
-    if log.o2o is not None:
-        two = log.o2o.select(F.col("source_id").alias("id_x"), F.col("target_id").alias("id_y"))
-        together = together.unionAll(two).unionAll(two.select(F.col("id_y"), F.col("id_x")))
-    lx, ly = (life.select(F.col("object_id").alias(f"id_{s}"), F.col("object_type").alias(f"type_{s}"), F.col("a").alias(f"a{s}"), F.col("z").alias(f"z{s}")) for s in "xy")
-    p = together.distinct().join(lx, "id_x").join(ly, "id_y").where("type_x <> type_y")
-    share = lambda c: F.avg(F.when(F.expr(c), 1.0).otherwise(0.0))
-    s = p.groupBy("type_x", "type_y").agg(F.count("*").alias("pairs"), share("ax >= ay and zx <= zy").alias("d"), share("ay >= ax and zy <= zx").alias("di"), share("ax <= ay and zx <= zy").alias("i"), share("ay <= ax and zy <= zx").alias("ii"))
-    pick = F.when(F.col("d") >= tau, "D").when(F.col("di") >= tau, "Di").when(F.col("i") >= tau, "I").when(F.col("ii") >= tau, "Ii").otherwise("P")
-    return s.select("type_x", "type_y", "pairs", pick.alias("relation"))
-
-
 def ocdfg(log: OCEL) -> tuple[DataFrame, DataFrame]:
     """Object-centric directly-follows graph: nodes (objects, starts, ends) and edges (n, mean microseconds)."""
     r = relations(log).select("object_type", "object_id", "event_id", "activity", "ts").distinct()

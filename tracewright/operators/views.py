@@ -80,10 +80,50 @@ def work_items(events: DataFrame) -> DataFrame:
     return starts.join(ends, [*key, "k"]).select(*key, F.col("k").cast("long").alias("k"), "start", "end")
 
 
-def lifecycle_overlap(items: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of work items of one case that overlap, by activities a < b; items have case_id, activity, start, end."""
-    x, y = (items.select("case_id", F.col("activity").alias(n), F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}")) for n in "ab")
-    return x.join(y, "case_id").where("a < b and greatest(sa, sb) < least(ea, eb)").groupBy("a", "b").agg(F.count("*").alias("n"))
+def lifecycle_overlap(items: DataFrame, at_once: int = 64) -> DataFrame:
+    """(a, b, n): pairs of work items of one case that overlap, by activities a < b; items have case_id, activity, start, end.
+
+    A running count for each activity of the items that are open when another starts, ends before starts; the names are
+    taken ``at_once`` in a pass over the sorted events, and no pairs are made.
+    """
+    # Numbered, so that items that start together are in the same order in every pass.
+    real = settled(items.where("start < end").select("case_id", "activity", "start", "end", F.monotonically_increasing_id().alias("nth")))
+    events = real.select("case_id", "activity", F.col("start").alias("t"), F.lit(1).alias("step"), "nth").unionAll(real.select("case_id", "activity", "end", F.lit(-1), "nth"))
+    names = [r.activity for r in events.select("activity").distinct().orderBy("activity").collect()]  # names
+    before = Window.partitionBy("case_id").orderBy("t", "step", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    out = None
+    for k in range(0, len(names), at_once) or [0]:
+        some = names[k : k + at_once]
+        counts = [F.coalesce(F.sum(F.when(F.col("activity") == n, F.col("step")).otherwise(0)).over(before), F.lit(0)).alias(f"n{i}") for i, n in enumerate(some)]
+        starts = events.select("case_id", "activity", "step", *counts).where("step = 1")
+        open_ = F.explode(F.array(*[F.struct(F.lit(n).alias("other"), F.col(f"n{i}").alias("n")) for i, n in enumerate(some)])) if some else F.explode(F.expr("cast(array() as array<struct<other: string, n: bigint>>)"))
+        x = starts.select("activity", open_.alias("o")).where("o.n > 0 and o.other <> activity")
+        x = x.groupBy(F.least("activity", "o.other").alias("a"), F.greatest("activity", "o.other").alias("b")).agg(F.sum("o.n").alias("n"))
+        out = x if out is None else out.unionAll(x)
+    return out.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def refined_follows(events: DataFrame) -> DataFrame:
+    """(source, target, n): starts by the latest end before them in their case, whatever else is open then; an activity
+    that follows its own end is left out. ``events`` has case_id, activity, phase, t and event_id, in order by t (nulls
+    last) and event_id."""
+    before = Window.partitionBy("case_id").orderBy(F.col("t").asc_nulls_last(), "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.last(F.when(F.col("phase") == "complete", F.col("activity")), ignorenulls=True).over(before)
+    x = events.select("phase", "activity", ended.alias("source")).where("phase = 'start' and source is not null and source <> activity")
+    return x.groupBy("source", F.col("activity").alias("target")).agg(F.count("*").alias("n"))
+
+
+def concurrent_pairs(events: DataFrame, items: DataFrame, epsilon: float = 0.1) -> DataFrame:
+    """(a, b, ab, ba, overlap, concurrent): pairs of activities a < b that follow each other both ways in the refined
+    order, with the overlaps of their work items; concurrent where they overlap at all or the two directions differ by
+    less than ``epsilon`` of their sum."""
+    f = refined_follows(events)
+    ab = f.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("n").alias("ab"))
+    ba = f.select(F.col("target").alias("a"), F.col("source").alias("b"), F.col("n").alias("ba"))
+    x = ab.join(ba, ["a", "b"], "full").where("a < b").join(lifecycle_overlap(items).withColumnRenamed("n", "overlap"), ["a", "b"], "full")
+    x = x.select("a", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ab", "ba", "overlap")])
+    even = (F.col("ab") > 0) & (F.col("ba") > 0) & (F.abs(F.col("ab") - F.col("ba")) < epsilon * (F.col("ab") + F.col("ba")))
+    return x.withColumn("concurrent", (F.col("overlap") > 0) | even)
 
 
 def replay_sample(log: EventLog, cases: int) -> DataFrame:

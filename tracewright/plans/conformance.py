@@ -95,11 +95,6 @@ def h15_play_out(spark, d) -> DataFrame:
     return conform.play_out(spark, day_net(spark, d), 200)
 
 
-@query()
-def h16_random_tree(spark, d) -> DataFrame:
-    return spark.createDataFrame(miners.tree_rows(conform.random_tree(12)), miners.TREE)
-
-
 @query()
 def g24_org_model(spark, d) -> DataFrame:
     s = relations.similar_task(line_log(spark, d)).select("a", "b", F.col("cosine").alias("similarity"))

@@ -54,7 +54,7 @@ def f11_wait_sample(spark, d) -> DataFrame:
     return catalog.sample_rows(s, "event_id", 400, seed=11).select("event_id", "wait_ms")
 
 
-@query(f"WITH {FLAT_SQL}, {AB} SELECT a.object_id, a.event_id AS a_event, b.event_id AS b_event, b.us - a.us AS delta_us FROM q a LEFT JOIN q b ON b.object_id = a.object_id AND b.activity = 'ship' AND b.us > a.us WHERE a.activity = 'place order'")
+@query(f"WITH {FLAT_SQL}, {AB}, qa AS (SELECT object_id, event_id, us FROM q WHERE activity = 'place order'), qb AS (SELECT object_id, event_id, us FROM q WHERE activity = 'ship'), j AS (SELECT qa.object_id, qa.event_id AS a_event, qb.event_id AS b_event, qb.us - qa.us AS delta_us FROM qa JOIN qb USING (object_id) WHERE qb.us > qa.us) SELECT * FROM j UNION ALL SELECT object_id, event_id, NULL, NULL FROM qa ANTI JOIN (SELECT object_id, a_event AS event_id FROM j) USING (object_id, event_id)")
 def f25_all_pairs(spark, d) -> DataFrame:
     return cardinality.all_pairs(order_ocel(spark, d), "Order", "place order", "ship")
 

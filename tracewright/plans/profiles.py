@@ -233,14 +233,6 @@ def f35_lifecycle_profile(spark, d) -> DataFrame:
     return o.groupBy("object_type").agg(F.count("*").alias("objects"), F.median("h").alias("median_lead_hours"), F.avg(F.when(F.col("rw"), 1.0).otherwise(0.0)).alias("rework_rate"))
 
 
-@query(f"""WITH {FLAT_SQL}, q AS (SELECT DISTINCT event_id, object_id FROM r), l AS (SELECT object_id, object_type, min(ts) AS a, max(ts) AS z FROM r GROUP BY 1, 2),
-p AS (SELECT x.object_id AS ix, y.object_id AS iy FROM q x JOIN q y ON x.event_id = y.event_id AND x.object_id <> y.object_id UNION SELECT source_id, target_id FROM o2o UNION SELECT target_id, source_id FROM o2o),
-s AS (SELECT x.object_type AS type_x, y.object_type AS type_y, count(*) AS pairs, avg((x.a >= y.a AND x.z <= y.z)::INT) AS d, avg((y.a >= x.a AND y.z <= x.z)::INT) AS di, avg((x.a <= y.a AND x.z <= y.z)::INT) AS i, avg((y.a <= x.a AND y.z <= x.z)::INT) AS ii FROM p JOIN l x ON x.object_id = ix JOIN l y ON y.object_id = iy WHERE x.object_type <> y.object_type GROUP BY 1, 2)
-SELECT type_x, type_y, pairs, CASE WHEN d >= 0.9 THEN 'D' WHEN di >= 0.9 THEN 'Di' WHEN i >= 0.9 THEN 'I' WHEN ii >= 0.9 THEN 'Ii' ELSE 'P' END AS relation FROM s""")
-def f37_totem(spark, d) -> DataFrame:
-    return profile.totem(order_ocel(spark, d))
-
-
 OCE = "x AS (SELECT object_type, object_id, activity, epoch_us(ts) AS t, lead(activity) OVER w AS target, epoch_us(lead(ts) OVER w) AS t2, lag(activity) OVER w AS before FROM (SELECT DISTINCT object_type, object_id, event_id, activity, ts FROM r) WINDOW w AS (PARTITION BY object_type, object_id ORDER BY ts, event_id))"
 
 

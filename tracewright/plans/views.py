@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import miners, object_nets, profile, relations, views
 from ..sources import bpmn
-from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_log, order_ocel, user_log
+from ..sources.tables import DAY_SQL, FLAT_SQL, LINE_SQL, OCEL_SQL, USER_SQL, day_log, line_log, order_ocel, table, user_log
 from .discovery import DEP, DF, HAND, ITEMS, items
 from .profiles import PATHS
 from .registry import query
@@ -78,6 +78,32 @@ def g11_lifecycle_overlap(spark, d) -> DataFrame:
     return views.lifecycle_overlap(items(spark, d))
 
 
+#: The work items of all of a customer's orders as one case, and their starts and ends as events.
+CUSTOMER = LIFE.replace("CAST(l_orderkey AS VARCHAR) AS case_id", "CAST(o_custkey AS VARCHAR) AS case_id")
+PHASES = CUSTOMER + ", pe AS (SELECT case_id, activity, 'start' AS phase, s AS t, item || ':0' AS event_id FROM it UNION ALL SELECT case_id, activity, 'complete', e, item || ':1' FROM it), rf AS (SELECT phase, activity, last_value(CASE WHEN phase = 'complete' THEN activity END IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY t NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM pe), rd AS (SELECT source, activity AS target, count(*) AS n FROM rf WHERE phase = 'start' AND source <> activity GROUP BY 1, 2)"
+
+
+def customer_items(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(items, their starts and ends) with a customer's orders as one case."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_custkey").cast("string").alias("customer"))
+    i = items(spark, d).join(orders, "case_id").drop("case_id").withColumnRenamed("customer", "case_id")
+    starts = i.select("case_id", "activity", F.lit("start").alias("phase"), F.col("start").alias("t"), F.concat("item", F.lit(":0")).alias("event_id"))
+    return i, starts.unionAll(i.select("case_id", "activity", F.lit("complete"), "end", F.concat("item", F.lit(":1"))))
+
+
+@query(f"WITH {PHASES} SELECT * FROM rd")
+def g11_refined_follows(spark, d) -> DataFrame:
+    return views.refined_follows(customer_items(spark, d)[1])
+
+
+@query(f"""WITH {PHASES}, ov AS (SELECT x.activity AS a, y.activity AS b, count(*) AS n FROM it x JOIN it y ON x.case_id = y.case_id AND x.activity < y.activity AND greatest(x.s, y.s) < least(x.e, y.e) GROUP BY 1, 2),
+pr AS (SELECT least(source, target) AS a, greatest(source, target) AS b, sum(CASE WHEN source < target THEN n ELSE 0 END)::BIGINT AS ab, sum(CASE WHEN source > target THEN n ELSE 0 END)::BIGINT AS ba FROM rd GROUP BY 1, 2)
+SELECT a, b, coalesce(ab, 0) AS ab, coalesce(ba, 0) AS ba, coalesce(n, 0) AS overlap, coalesce(n, 0) > 0 OR (coalesce(ab, 0) > 0 AND coalesce(ba, 0) > 0 AND abs(ab - ba) < 0.1 * (ab + ba)) AS concurrent FROM pr FULL JOIN ov USING (a, b)""")
+def g11_concurrent_pairs(spark, d) -> DataFrame:
+    i, events = customer_items(spark, d)
+    return views.concurrent_pairs(events, i)
+
+
 @query(f"WITH {USER_SQL} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pos, activity, epoch_us(ts) AS t FROM log WHERE case_id IN (SELECT DISTINCT case_id FROM log ORDER BY case_id LIMIT 10)")
 def g34_replay_sample(spark, d) -> DataFrame:
     return views.replay_sample(user_log(spark, d), 10)

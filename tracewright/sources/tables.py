@@ -73,6 +73,16 @@ def order_ocel(spark: SparkSession, folder: str) -> OCEL:
     return OCEL(events, objects, e2o, o2o, event_attr, object_attr)
 
 
+def activity_ocel(spark: SparkSession, folder: str) -> OCEL:
+    """Users' events with two types of objects: the user, and the user's day."""
+    e = table(spark, folder, "events")
+    user = F.concat(F.lit("u:"), F.col("user_id").cast("string"))
+    day = F.concat(F.lit("d:"), F.col("user_id").cast("string"), F.lit("@"), F.date_format("ts", "yyyy-MM-dd"))
+    objects = e.select(user.alias("object_id"), F.lit("User").alias("object_type")).unionAll(e.select(day, F.lit("Day"))).where("object_id is not null").distinct()
+    e2o = e.select("event_id", user.alias("object_id"), F.lit("by").alias("qualifier")).unionAll(e.select("event_id", day, F.lit("on"))).where("object_id is not null")
+    return OCEL(e.select("event_id", F.col("event_type").alias("activity"), "ts"), objects, e2o)
+
+
 # The same logs as DuckDB common table expressions, for the oracle.
 USER_SQL = "log AS (SELECT CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, ts, event_id, value FROM events)"
 DAY_SQL = "log AS (SELECT CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d') AS case_id, event_type AS activity, ts, event_id, value FROM events)"
