@@ -45,13 +45,14 @@ def best_by_brute_force(tree, events):
     """(explained events, occurrences) of the best choice of events."""
     known = words(tree, len(events))
     best = {(): 0}
-    for n in range(1, len(events) + 1):  # most occurrences that a sequence parts into
+    for n in range(1, len(events) + 1):  # fewest occurrences that a sequence parts into
         for s in itertools.product(sorted(set(events)), repeat=n):
             ways = [best[s[:k]] + 1 for k in range(n) if s[:k] in best and s[k:] in known]
             if ways:
-                best[s] = max(ways)
+                best[s] = min(ways)
     chosen = {tuple(events[i] for i in at) for n in range(len(events) + 1) for at in itertools.combinations(range(len(events)), n)}
-    return max((len(s), best[s]) for s in chosen if s in best)
+    explained, fewest = max((len(s), -best[s]) for s in chosen if s in best)
+    return explained, -fewest
 
 
 @pytest.mark.parametrize("tree", TREES, ids=lm.key)

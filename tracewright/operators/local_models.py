@@ -2,8 +2,8 @@
 
 A tree is an activity's name or a tuple: ("seq", x, y), ("xor", x, y), ("and", x, y), ("or", x, y) (one or both, in
 either order) or ("loop", x) (once or more). A model explains a case by disjoint occurrences, one after the other, in the
-case's events of the model's activities; as few of those as possible are left out, of such ways one with the most
-occurrences is taken, and of those the one that explains earlier events.
+case's events of the model's activities; as few of those as possible are left out, of such ways one with the fewest
+(so the longest) occurrences is taken, and of those the one that explains earlier events.
 
 The search goes in waves. Spark projects the variants on each wave's sets of activities and counts equal projections;
 each distinct projection is explained once by each model of its set, and what comes back is one row of sums a model and
@@ -134,7 +134,7 @@ def _shuffles(a: tuple, b: tuple) -> set[tuple]:
 def explain(tree: Tree, events: list[str]) -> tuple[int, dict[str, int], int, list[tuple[str, ...]]]:
     """(occurrences, explained events by activity, sum of allowed activities where they happen, occurrences' words)."""
     moves, ends = automaton(tree)
-    # Of each state the best way there: (explained, occurrences), then the way itself as linked steps.
+    # Of each state the best way there: (explained, -occurrences), then the way itself as linked steps.
     best: list = [None] * len(ends)
     best[0] = (0, 0, None)
     for a in events:
@@ -146,8 +146,8 @@ def explain(tree: Tree, events: list[str]) -> tuple[int, dict[str, int], int, li
             way = (was[2], a, n, False)
             if new[t] is None or (was[0] + 1, was[1]) > new[t][:2]:
                 new[t] = (was[0] + 1, was[1], way)
-            if ends[t] and (was[0] + 1, was[1] + 1) > new[0][:2]:
-                new[0] = (was[0] + 1, was[1] + 1, (was[2], a, n, True))
+            if ends[t] and (was[0] + 1, was[1] - 1) > new[0][:2]:
+                new[0] = (was[0] + 1, was[1] - 1, (was[2], a, n, True))
         best = new
     fired: dict[str, int] = {}
     allowed, words, word, way = 0, [], [], best[0][2]
@@ -161,7 +161,7 @@ def explain(tree: Tree, events: list[str]) -> tuple[int, dict[str, int], int, li
         allowed += n
     if word:
         words.append(tuple(reversed(word)))
-    return best[0][1], fired, allowed, words
+    return -best[0][1], fired, allowed, words
 
 
 def grown(tree: Tree, others: list[str], operators: tuple[str, ...], pair_ok, under_loop: bool = False) -> list[Tree]:
