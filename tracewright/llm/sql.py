@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 from . import chat
-from .secret_scan import ALLOWED, CLASSES, RUN, WIDTH
+from .secret_scan import ALLOWED, CLASSES, RUN, WIDTH, WORDS
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 #: Matches of each kind with their places: gaps and matches alternate, so their lengths add up.
 PLACES = """{k} AS (SELECT doc_id, m, e - coalesce(length(m), 0) AS s, e FROM (SELECT doc_id, m, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY rid ORDER BY i) AS e FROM
- (SELECT doc_id, rid, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(string_split_regex(t, '{p}')) AS g, generate_subscripts(string_split_regex(t, '{p}'), 1) AS i FROM d)) WHERE m IS NOT NULL)"""
+ (SELECT doc_id, rid, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(string_split_regex(t, '{p}')) AS g, generate_subscripts(string_split_regex(t, '{p}'), 1) AS i FROM {d})) WHERE m IS NOT NULL)"""
 _BOUND = " ".join(f"WHEN regexp_matches(m, '{p}') THEN {b}" for p, b in CLASSES[:-1])
 _ALLOWED = " OR ".join(f"regexp_matches(m, '{p}')" for p in ALLOWED)
 
+#: The text with spaces for base spans and allow-listed words: entropy is looked for in what is left.
+_BLANKED = "CASE WHEN head IS NULL THEN t ELSE head || substr(t, z + 1) END"
+for _w in WORDS:
+    _BLANKED = f"regexp_replace({_BLANKED}, '(?i){_w}', '{' ' * len(_w)}', 'g')"
+
 SECRETS = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
-{PLACES.format(k="pa", p=ASSIGN)}, {PLACES.format(k="pb", p="AKIA[A-Z0-9]+")}, {PLACES.format(k="pc", p="[0-9a-f]{{24,}}".replace("{{", "{").replace("}}", "}"))}, {PLACES.format(k="pd", p=RUN)},
+{PLACES.format(k="pa", d="d", p=ASSIGN)}, {PLACES.format(k="pb", d="d", p="AKIA[A-Z0-9]+")}, {PLACES.format(k="pc", d="d", p="[0-9a-f]{{24,}}".replace("{{", "{").replace("}}", "}"))},
 b AS (SELECT doc_id, s, e, 0 AS k, 'assign' AS kind FROM pa WHERE length(regexp_extract(m, '{ASSIGN}', 2)) >= 6 UNION ALL SELECT doc_id, s, e, 1, 'access' FROM pb WHERE length(m) >= 20 UNION ALL SELECT doc_id, s, e, 2, 'hex' FROM pc),
+mx AS (SELECT doc_id, s, e, k, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM b),
+hd AS (SELECT doc_id, string_agg(substr(t, (upto + 1)::BIGINT, (greatest(s, upto) - upto)::BIGINT) || repeat(' ', greatest(e - greatest(s, upto), 0)::BIGINT), '' ORDER BY s, k) AS head, max(e)::BIGINT AS z FROM mx JOIN d USING (doc_id) GROUP BY 1),
+bl AS (SELECT d.doc_id, rid, {_BLANKED} AS t FROM d LEFT JOIN hd USING (doc_id)), {PLACES.format(k="pd", d="bl", p=RUN)},
 h AS (SELECT doc_id, s, e, list_max(list_transform(range(0, length(m) - {WIDTH} + 1), lambda i: list_aggregate(string_split(substr(m, i + 1, {WIDTH}), ''), 'entropy'))) AS h, CASE {_BOUND} ELSE {CLASSES[-1][1]} END AS bound FROM pd WHERE NOT ({_ALLOWED})),
-x AS (SELECT doc_id, s, e, k, kind FROM b UNION ALL SELECT doc_id, s, e, 3, 'entropy' FROM h WHERE h >= bound AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = h.doc_id AND b.s < h.e AND h.s < b.e)),
+x AS (SELECT doc_id, s, e, k, kind FROM b UNION ALL SELECT doc_id, s, e, 3, 'entropy' FROM h WHERE h >= bound),
 g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_entropy,
  string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans FROM x GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM d LEFT JOIN g USING (doc_id)"""
