@@ -375,3 +375,20 @@ def test_pipeline_stages_on_odd_tables(spark, odd_docs, no_docs, empty):
             assert out.selectExpr(*[f"`{c}` as x{i}" for i, c in enumerate(clash)]).distinct().count() <= 1
         docs = out
     assert (docs.count() == 0) >= empty
+
+
+PROSE = "The river rose in the night, and by morning the lower meadows stood under a foot of brown water. Nobody had seen it coming, least of all those who had built there. "
+
+
+@pytest.mark.parametrize("share", [0.5, 2, 6])
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<main>{}</main>", "<div class='post comments-open'>{}</div>", "<div>{}</div>"])
+@pytest.mark.parametrize("around", ["<section class='comments'>{}</section>", "<div id='comments'><ul>{}</ul></div>", "<div class='below'>{}</div>", "inside"])
+def test_comments_go_whatever_their_share(share, article, around):
+    body = [f"{PROSE}{k} times it had been foretold." for k in range(2)]
+    said = [f"I lived there once, and {k} of my neighbours still do. {PROSE}" for k in range(int(2 * share))]
+    each = "".join(f"<article class='comment'><p>{c}</p></article>" if around == "<div class='below'>{}</div>" else f"<div class='comment-body'><p>{c}</p></div>" for c in said)
+    text = "<h1>The flood</h1>" + "".join(f"<p>{b}</p>" for b in body)
+    inner = article.format(text + (f"<div class='comment-list'>{each}</div>" if around == "inside" else "")) + ("" if around == "inside" else around.format(each))
+    page = f"<html><body><header><a href=/>Home</a></header>{inner}<footer>All rights reserved.</footer></body></html>"
+    got = html_mincut.main_text(page).split("\n\n")
+    assert got[-2:] == [" ".join(b.split()) for b in body] and not any("neighbours" in g for g in got)

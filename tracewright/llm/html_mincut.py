@@ -12,7 +12,8 @@ the html's length); without such pages hand-set weights stand in.
 
 Class and id names that are common for boilerplate lower a block's score, and a block with enough prose outweighs them.
 They count nothing on elements that hold the page's main text (<main>, an article that is not small beside the page's
-longest, or over half of the prose), nor where they say what a layout has or lacks ("has-sidebar").
+longest, or over half of the prose), nor where they say what a layout has or lacks ("has-sidebar"). Elements named as readers' comments, of any size and
+``article`` ones too, are boilerplate once some prose has come before them, unless they hold the page's main text.
 
 Nulls: a null page is empty; a page without content has the empty text. Markup that is broken or cut off is read as far
 as it goes. Repeated rows and null ids keep their rows. An empty table gives an empty result. Other columns are ignored.
@@ -43,8 +44,11 @@ NEVER = set("head title script style noscript noembed noframes iframe template n
 BAD_NAMES = set("ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login nav navbar navigation menu sidebar rail breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social comment comments commentlist respond reply replies disqus related recommended widget search form copyright legal alert skip".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 GOOD_NAMES = set("article content post entry story main".split())
+#: Names of readers' comments, and the letters of prose that come before these.
+TALK, OPENING = set("comment comments commentlist respond reply replies disqus".split()), 80
 #: First words of names that tell what a layout has or lacks, not what the element is.
 STATES = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "without_")
+STATE_ENDS = ("-open", "_open", "-closed", "_closed")
 #: Elements of NEVER that are boilerplate unless they hold the page's main text: some pages lie in one form.
 WRAPS = {"form", "fieldset"}
 
@@ -82,7 +86,9 @@ class Open:
     fine: bool = False
     core: bool = False
     marked: bool = False
+    talk: bool = False
     chars: int = 0
+    before: int = 0
     holds: bool = False
     bad: bool = False
     good: bool = False
@@ -109,7 +115,7 @@ def opened(tag: str, attributes: str, number: int, above: Open) -> Open:
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             for word in value.split():
-                if not word.startswith(STATES):
+                if not word.startswith(STATES) and not word.endswith(STATE_ENDS):
                     names.update(NAME.findall(word))
         elif name == "role":
             roles.update(value.split())
@@ -117,6 +123,7 @@ def opened(tag: str, attributes: str, number: int, above: Open) -> Open:
             hidden = True
     e = Open(tag, number, above, tag == "a" or above.link, above.never)
     e.named = bool(names & BAD_NAMES)
+    e.talk = bool(names & TALK) and tag not in ("html", "body", "main")
     e.marked = above.marked or tag in ("article", "main")
     e.core = tag in ("article", "main") or bool(roles & {"main", "article"})
     if not e.core and tag not in ("html", "body"):
@@ -139,7 +146,7 @@ def settle(root: Open, elements: list[Open]) -> None:
         up, free = e.above, e.holds or 2 * e.chars > root.chars
         named = e.named and not free and not e.core and e.tag not in ("html", "body")
         e.good = up.good or e.core or e.fine and not named
-        e.bad = up.bad or e.never or not free and (e.wraps or e.tag == "header" and not e.good)
+        e.bad = up.bad or e.never or e.talk and e.before >= OPENING and not e.holds or not free and (e.wraps or e.tag == "header" and not e.good)
         e.doubt = (up.doubt or named) and e.number not in leads
 
 
@@ -152,7 +159,7 @@ def blocks_of(page: str) -> list[Block]:
     deeper: list[str] = []
     many: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
-    number = at = 0
+    number = at = prose = 0
     loose = False
 
     def flush() -> None:
@@ -165,11 +172,13 @@ def blocks_of(page: str) -> list[Block]:
         held.clear()
 
     def say(raw: str) -> None:
+        nonlocal prose
         if raw:
             top = stack[-1] if stack else root
             held.append((html.unescape(raw), top.link))
             if not top.link:
                 top.chars += len(raw.strip())
+                prose += 0 if top.never else len(raw.strip())
 
     def close(tags: set[str], within: set[str]) -> None:
         """Closes the innermost open element of ``tags`` and all in it, unless one of ``within`` lies between."""
@@ -234,6 +243,7 @@ def blocks_of(page: str) -> list[Block]:
         if len(stack) < DEEPEST:
             stack.append(opened(tag, m[3], number, stack[-1] if stack else root))
             elements.append(stack[-1])
+            stack[-1].before = prose
         else:
             deeper.append(tag)
     flush()
