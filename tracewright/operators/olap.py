@@ -122,9 +122,9 @@ def classify_lifecycle(events: DataFrame, separator: str = "\u001f") -> DataFram
 
 def repair_events(log: OCEL, step: int = 1) -> DataFrame:
     """Events with ties in time put apart by ``step`` microseconds in order of id."""
-    nth = F.row_number().over(Window.partitionBy("ts").orderBy("event_id")) - 1
-    moved = F.expr(f"timestampadd(MICROSECOND, cast(nth * {step} as int), ts)")
-    return log.events.withColumn("nth", nth).select("event_id", "activity", F.when(F.col("ts").isNotNull(), moved).alias("ts"))
+    from .repairs import apart
+
+    return apart(log.events.select("event_id", "activity", "ts"), step)
 
 
 def repair_relations(log: OCEL) -> DataFrame:

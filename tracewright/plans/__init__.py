@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL, Query
 
-MODULES = ("transforms", "profiles", "discovery", "conformance", "quality", "views", "rules", "extras", "fragments", "comparisons")
+MODULES = ("transforms", "profiles", "discovery", "conformance", "quality", "views", "rules", "extras", "fragments", "comparisons", "repairs")
 
 
 def _load() -> None:
