@@ -5,6 +5,7 @@ the entropy rule is a maximal run of base-64 letters in what base spans and allo
 width slides over it, its letter counts and the sum of c log2 c change by one letter in and one out, and the run counts
 if some window's Shannon entropy reaches the bound of the narrowest class that the run is made of. Runs on the
 allow-list add nothing. The counts are bit fields of a few longs, so that a step costs the same in runs of any length.
+Sums over spans and the cutting of texts go by blocks, so that many spans in one text cost about as much each as few.
 
 Nulls: a null text is empty; an empty text has no spans. Repeated rows and null ids keep their rows. An empty table
 gives an empty result. Other columns, of whatever names, are kept by ``redact`` and ignored by ``scan``.
@@ -39,20 +40,68 @@ ALLOWED = (
 WORDS = ("example", "placeholder", "xxxx", "0123456789", "abcdefgh")
 
 
+#: Items a block of running sums, and pieces a block of a text that is cut.
+BLOCK, PIECES = 64, (1024, 32)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, the value being worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def in_blocks(items: Column, size: int) -> Column:
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * size + 1, F.lit(size)))
+
+
+def running(items: Column, measure, add) -> Column:
+    """What ``add`` makes, from 0 on, of the measures of all items before each: an array<int> as long as ``items``.
+
+    Items are taken in blocks and the blocks' sums put end to end, so that no array of all items grows by one at a time.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def before(values: Column, first: Column, size) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct(add(acc["at"], size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: add(acc, measure(x))))
+        return F.flatten(F.zip_with(blocks, before(sums, F.lit(0), lambda x: x), lambda b, first: before(b, first, measure)))
+
+    return let(in_blocks(items, BLOCK), joined)
+
+
+def cut(text: Column, pieces: Column, origin: Column, blocks: tuple[int, ...] = PIECES) -> Column:
+    """The letters from ``at`` to ``start`` of each of ascending ``pieces`` of ``text``, which starts at ``origin``.
+
+    A piece is cut from its block's stretch of the text, not from the whole text, as finding a letter's place takes time
+    in proportion to the letters before it.
+    """
+    if not blocks:
+        return F.transform(pieces, lambda p: F.substring(text, p["at"] - origin + 1, p["start"] - p["at"]))
+
+    def stretch(block: Column) -> Column:
+        first, last = F.get(block, 0)["at"], F.get(block, F.size(block) - 1)["start"]
+        part = F.struct(F.substring(text, first - origin + 1, last - first).alias("text"), first.alias("at"), block.alias("pieces"))
+        return let(part, lambda v: cut(v["text"], v["pieces"], v["at"], blocks[1:]))
+
+    return F.flatten(F.transform(in_blocks(pieces, blocks[0]), stretch))
+
+
 def at_spans(text: Column, pattern: str, kind: int, valid) -> Column:
     """Spans of all leftmost matches that ``valid`` accepts: array of (start, kind, end)."""
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.transform(gaps, lambda g: F.length(g)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+    length = lambda p: p["g"] + F.coalesce(F.length(p["m"]), F.lit(0))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["g"]
-        end = begin + F.coalesce(F.length(p["m"]), F.lit(0))
-        here = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(p["m"].isNotNull() & valid(p["m"]), F.concat(acc["out"], F.array(here))).otherwise(acc["out"]).alias("out"))
+    def spans(p: Column) -> Column:
+        placed = F.zip_with(p, running(p, length, lambda x, y: x + y), lambda x, at: F.struct(x["m"].alias("m"), (at + x["g"]).alias("at")))
+        found = F.filter(placed, lambda x: x["m"].isNotNull() & valid(x["m"]))
+        return F.transform(found, lambda x: F.struct(x["at"].alias("start"), F.lit(kind).alias("kind"), (x["at"] + F.length(x["m"])).alias("end")))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    return F.when(text.rlike(pattern), let(pairs, spans)).otherwise(none)
 
 
 #: Letters of runs are numbered from "+" on; a count of at most WIDTH takes 5 bits, 12 counts a long.
@@ -101,16 +150,24 @@ def suspicious(run: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(run) >= bound)
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces, as many as the letters were, in place of spans (in order of start) and allow-listed words."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def refilled(text: Column, spans: Column, fill, apart: bool) -> Column:
+    """``text`` with ``fill(span)`` in place of each span, in order of start; overlapping ones are one span if ``apart``.
+
+    ``fill`` gets the ``start`` and ``end`` of what a span holds beyond the spans before it.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        gap = F.substring(text, acc["at"] + 1, begin - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))).alias("out"))
+    def made(s: Column) -> Column:
+        ends = running(s, lambda x: x["end"], F.greatest)
+        placed = F.zip_with(s, ends, lambda x, at: F.struct(at.alias("at"), F.greatest(at, x["start"]).alias("start"), x["end"].alias("end"), (x["start"] >= at).alias("apart")))
+        return let(F.filter(placed, lambda x: x["apart"]) if apart else placed, lambda pieces: F.zip_with(cut(text, pieces, F.lit(0)), pieces, lambda gap, x: F.concat(gap, fill(x))))
 
-    out = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    tail = F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.array_join(F.concat(let(spans, made), F.array(tail)), "")).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces, as many as the letters were, in place of spans (in order of start) and allow-listed words."""
+    out = refilled(text, spans, lambda x: F.repeat(F.lit(" "), F.greatest(x["end"] - x["start"], F.lit(0))), apart=False)
     for word in WORDS:
         out = F.regexp_replace(out, f"(?i){word}", " " * len(word))
     return out
@@ -141,13 +198,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span of a text, overlapping ones joined, replaced by ``mask``; ``n_chars`` follows if there."""
     row, text = F.col("_row"), F.col("_row.text")
     df = with_spans(docs.select(F.struct("*").alias("_row")), F.coalesce(text, F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = refilled(text, F.col("_spans"), lambda x: F.lit(mask), apart=True)
     df = df.select("_row", F.when(F.size("_spans") > 0, new).alias("_new"))
     changed = {"text": F.coalesce("_new", text)} | ({"n_chars": F.coalesce(F.length("_new").cast(dict(docs.dtypes)["n_chars"]), row["n_chars"])} if "n_chars" in docs.columns else {})
     return df.select(*[changed.get(c, row[c]).alias(c) for c in docs.columns])
