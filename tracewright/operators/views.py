@@ -35,14 +35,39 @@ def variant_list(log: EventLog, coverage: float = 0.8) -> DataFrame:
     return x.where(F.col("running") - F.col("n") < coverage * F.col("total")).select("rank", "seq", "n", (F.col("running") / F.col("total")).alias("cumulative"))
 
 
-def variant_edges(log: OCEL, object_type: str) -> DataFrame:
-    """(source, target, min_variant, n): directly-follows edges of a type with the rank of the commonest variant that has them."""
-    v = numbered(lives(log).where(F.col("object_type") == object_type).groupBy("seq").agg(F.count("*").alias("n")), F.desc("n"), "seq")
+def ranked_variants(log: OCEL, object_type: str) -> DataFrame:
+    """(seq, n, rank, running): the variants of a type, the commonest first, and the objects up to each."""
+    return numbered(lives(log).where(F.col("object_type") == object_type).groupBy("seq").agg(F.count("*").alias("n")), F.desc("n"), "seq", running="n")
+
+
+def edges_of(ranked: DataFrame) -> DataFrame:
+    """(source, target, min_variant, n) of ranked variants."""
     s = F.col("seq")
-    e = v.select("rank", "n", F.explode(F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("b"))).alias("e"))
+    e = ranked.select("rank", "n", F.explode(F.arrays_zip(F.slice(s, 1, F.size(s) - 1).alias("a"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("b"))).alias("e"))
     return e.groupBy(F.col("e.a").alias("source"), F.col("e.b").alias("target")).agg(F.min("rank").cast("long").alias("min_variant"), F.sum("n").alias("n"))
 
 
+def variant_edges(log: OCEL, object_type: str) -> DataFrame:
+    """(source, target, min_variant, n): directly-follows edges of a type with the rank of the commonest variant that has them."""
+    return edges_of(ranked_variants(log, object_type))
+
+
+def variant_prefixes(log: OCEL, object_type: str) -> DataFrame:
+    """(rank, n, cumulative, new_activities, activities, new_edges, edges): what showing the commonest variants up to each
+    rank covers: its share of the objects, and how many activities and edges there are in all of them and in none before."""
+    v = settled(ranked_variants(log, object_type))
+    total = F.broadcast(v.agg(F.sum("n").alias("total")))  # one row
+    first = v.select("rank", F.explode(F.array_distinct("seq")).alias("activity")).groupBy("activity").agg(F.min("rank").alias("rank"))
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    new = first.select("rank", one.alias("a"), none.alias("e")).union(edges_of(v).select("min_variant", none, one))
+    new = new.groupBy("rank").agg(F.sum("a").alias("new_activities"), F.sum("e").alias("new_edges"))
+    x = v.join(new, "rank", "left").fillna(0, ["new_activities", "new_edges"]).crossJoin(total)
+    x = x.select("rank", "n", (F.col("running") / F.col("total")).alias("cumulative"), "new_activities", "new_edges")
+    for what in ("activities", "edges"):
+        x = numbered(x, "rank", running=f"new_{what}").withColumnRenamed("running", what)
+    return x.select("rank", "n", "cumulative", "new_activities", "activities", "new_edges", "edges")
+
+
 def compare_fields(one: DataFrame, two: DataFrame) -> DataFrame:
     """(bin_x, bin_y, mass_one, mass_two, delta) of two interaction fields."""
     a, b = (f.select("bin_x", "bin_y", F.col("mass").alias(n)) for f, n in ((one, "mass_one"), (two, "mass_two")))

@@ -38,6 +38,13 @@ def v9_variant_prefix(spark, d) -> DataFrame:
     return views.variant_edges(order_ocel(spark, d), "Order").where("min_variant <= 3")
 
 
+@query(f"""WITH {FLAT_SQL}, {VE}, na AS (SELECT rk, count(*) AS a FROM (SELECT name, min(rk) AS rk FROM (SELECT rk, unnest(string_split(path, '>')) AS name FROM vr) GROUP BY 1) GROUP BY 1), ne AS (SELECT min_variant AS rk, count(*) AS e FROM eg GROUP BY 1),
+al AS (SELECT rk, n, coalesce(a, 0) AS a, coalesce(e, 0) AS e FROM vr LEFT JOIN na USING (rk) LEFT JOIN ne USING (rk))
+SELECT rk AS rank, n, sum(n) OVER w / sum(n) OVER () AS cumulative, a AS new_activities, CAST(sum(a) OVER w AS BIGINT) AS activities, e AS new_edges, CAST(sum(e) OVER w AS BIGINT) AS edges FROM al WINDOW w AS (ORDER BY rk ROWS UNBOUNDED PRECEDING)""")
+def v9_variant_prefixes(spark, d) -> DataFrame:
+    return views.variant_prefixes(order_ocel(spark, d), "Order")
+
+
 @query(f"WITH {DAY_SQL}, sq AS (SELECT list(activity ORDER BY ts, event_id) AS seq FROM log GROUP BY case_id), v AS (SELECT seq, count(*) AS n FROM sq GROUP BY 1), w AS (SELECT seq, n, row_number() OVER (ORDER BY n DESC, seq) AS rank, sum(n) OVER (ORDER BY n DESC, seq ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM v) SELECT rank, array_to_string(seq, '>') AS seq, n, run / t AS cumulative FROM w WHERE run - n < 0.8 * t")
 def v10_variant_list(spark, d) -> DataFrame:
     return views.variant_list(day_log(spark, d)).withColumn("seq", F.array_join("seq", ">"))
