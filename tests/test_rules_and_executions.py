@@ -162,6 +162,29 @@ def test_variants_by_all_orders(spark):
     assert {len({o for c, o in parts if c == r}) for r, _ in parts} == {3} or len(parts) <= len(types)
 
 
+@pytest.mark.parametrize("seed", [3])
+def test_attributed_edges_and_partitions_by_search(spark, seed):
+    """Edges of each object inside each execution, counted one by one; ranks and sizes of the exported parts."""
+    events, types = random_ocel(seed)
+    log = ocel_of(spark, events, types)
+    members = executions.by_leading_type(log, "A")
+    pairs = members_by_search(events, types, "A")
+    graphs = graphs_by_search(events, types, pairs)
+    variant = {r.execution: (r.variant, r.n) for r in executions.variants(log, members).collect()}
+    rank = {v: k for k, (v, n) in enumerate(sorted(set(variant.values()), key=lambda x: (-x[1], x[0])), 1)}
+    want = {}
+    for root, o in pairs:
+        own = [e for e, _ in graphs[root][0] if o in events[e][2]]
+        for a, b in zip(own, own[1:]):
+            key = (types[o], events[a][1], events[b][1])
+            n, least = want.get(key, (0, len(rank)))
+            want[key] = (n + 1, min(least, rank[variant[root][0]]))
+    got = {(r.object_type, r.source, r.target): (r.n, r.min_variant) for r in executions.attributed_edges(log, members).collect()}
+    assert want and got == want
+    parts = {r.execution: (r.variant, r.n_objects, r.n_events) for r in executions.partition(log, members).collect()}
+    assert parts == {r: (variant[r][0], sum(x == r for x, _ in pairs), len(g[0])) for r, g in graphs.items()}
+
+
 def test_equal_colours_are_not_taken_for_equal_graphs():
     ring = lambda names: [[names[i], names[(i + 1) % len(names)], ""] for i in range(len(names))]
     nodes = [[n, "x"] for n in "abcdef"]
