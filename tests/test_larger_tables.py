@@ -1,7 +1,11 @@
 """What showed on odd and on larger tables only: each test failed before its change."""
 
+import time
+
 from helpers import duck_rows, spark_rows
+from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
+from tracewright.operators import executions
 from tracewright.plans import all_queries, all_sql
 
 
@@ -9,3 +13,34 @@ def test_page_rounds_halves_to_even(spark, duck, tmp_path):
     duck.execute(f"COPY (SELECT range AS o_orderkey, 'O' AS o_orderstatus, range + 0.5::DOUBLE AS o_totalprice FROM range(300)) TO '{tmp_path}/orders.parquet'")
     sql = all_sql()["a2_page"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet' orders")
     assert spark_rows(all_queries()["a2_page"](spark, str(tmp_path))) == duck_rows(duck, sql)
+
+
+def test_variants_of_many_equal_events(spark):
+    """Graphs whose events differ by their place only: trying the events of one label for each other takes all orders."""
+    events, types = {}, {}
+    for k in range(3):
+        ring = [f"B{k}{i:02d}" for i in range(14)]
+        types |= {f"A{k}": "A"} | dict.fromkeys(ring, "B")
+        # 14 pairs of events, each pair with an object of its own; the last execution lacks one of the pairs' links.
+        for i, b in enumerate(ring):
+            events |= {f"e{k}{i:02d}a": (i, "x", [f"A{k}", b]), f"e{k}{i:02d}b": (50 + (i * 5 + k) % 14, "y", [f"A{k}", b if (k, i) != (2, 0) else ring[1]])}
+    log = ocel_of(spark, events, types)
+    members = executions.by_leading_type(log, "A")
+    began = time.time()
+    got = {r.execution: r.variant for r in executions.variants(log, members).collect()}
+    graphs = graphs_by_search(events, types, members_by_search(events, types, "A"))
+    key = lambda g: (len(g[1]), sorted(executions.refined([list(n) for n in g[0]], g[1]).values()))
+    assert len(got) == 3 and time.time() - began < 120
+    for x in got:
+        for y in got:
+            assert (got[x] == got[y]) == (key(graphs[x]) == key(graphs[y]))
+
+
+def test_far_types_are_found_over_objects_that_lack_them(spark):
+    """A chain of objects whose far end alone meets the last type, beside executions that meet all types at once."""
+    types = {"A0": "A", "A1": "A", "A2": "A", "B0": "B", "B1": "B", "B2": "B", "C0": "C", "C1": "C", "A3": "A"}
+    events = {"e0": (0, "x", ["A0", "B0"]), "e1": (1, "x", ["B0", "B1"]), "e2": (2, "x", ["B1", "B2"]), "e3": (3, "x", ["B2", "C0"]), "e4": (4, "x", ["A1", "B2", "C1"]), "e5": (5, "y", ["A2"])}
+    log = ocel_of(spark, events, types)
+    want = members_by_search(events, types, "A")
+    assert {tuple(r) for r in executions.by_leading_type(log, "A").collect()} == want
+    assert executions.surroundings(executions._pairs(log), spark.createDataFrame([("A2",)], "object_id string"), 3)[0].count() == 1
