@@ -2,10 +2,11 @@
 
 import time
 
+import pytest
 from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
-from tracewright.operators import executions
+from tracewright.operators import conform, executions, graph_repair, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -44,3 +45,24 @@ def test_far_types_are_found_over_objects_that_lack_them(spark):
     want = members_by_search(events, types, "A")
     assert {tuple(r) for r in executions.by_leading_type(log, "A").collect()} == want
     assert executions.surroundings(executions._pairs(log), spark.createDataFrame([("A2",)], "object_id string"), 3)[0].count() == 1
+
+
+def test_candidates_are_listed_where_a_lost_object_is_one(spark):
+    """e4 lost b1, which e1 has with a1; e5 lost b3, which nothing else has with a2, so its candidates aren't listed."""
+    types = {"a1": "A", "a2": "A", "b1": "B", "b2": "B", "b3": "B"}
+    events = {"e1": (0, "x", ["a1", "b1"]), "e2": (1, "x", ["a1", "b2"]), "e3": (2, "x", ["a2", "b2"]), "e4": (3, "x", ["a1", "b1"]), "e5": (4, "x", ["a2", "b3"])}
+    log = ocel_of(spark, events, types)
+    dropped = spark.createDataFrame([("e4", "b1"), ("e5", "b3")], "event_id string, object_id string")
+    assert {tuple(r) for r in graph_repair.candidates(log, dropped, wanted=True).collect()} == {("e4", "b1"), ("e4", "b2")}
+    assert {tuple(r) for r in conform.reconstruct(log, dropped).collect()} == {("e4", "b1", 1, 2), ("e5", "b3", None, None)}
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_one_spelling_does_not_gather_its_rows(spark, monkeypatch, few):
+    """Rows of one spelling: broadcast, or dealt out, and the same either way."""
+    monkeypatch.setattr(repairs, "BROADCAST", few)
+    rows = [(k, "by" if k % 3 else " BY") for k in range(3000)] + [(-1, None), (-2, "from")]
+    out = repairs.one_spelling(spark.createDataFrame(rows, "k long, q string"), "q")
+    assert {(r.k, r.q) for r in out.collect()} == {(k, q and q.strip().lower()) for k, q in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan if few else "_salt" in plan
