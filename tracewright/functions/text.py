@@ -39,11 +39,11 @@ def jaro(a: Column | str, b: Column | str) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(out)
 
 
-def jaro_winkler(a: Column | str, b: Column | str) -> Column:
-    """Jaro-Winkler similarity with prefix weight 0.1 over four letters."""
+def jaro_winkler(a: Column | str, b: Column | str, known: Column | str | None = None) -> Column:
+    """Jaro-Winkler similarity with prefix weight 0.1 over four letters, from the ``known`` Jaro similarity if given."""
     a, b = _column(a), _column(b)
     same = sum((F.when((F.length(a) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
-    return F.get(F.transform(F.array(jaro(a, b)), lambda j: j + F.lit(0.1) * same * (F.lit(1.0) - j)), 0)
+    return F.get(F.transform(F.array(jaro(a, b) if known is None else _column(known)), lambda j: j + F.lit(0.1) * same * (F.lit(1.0) - j)), 0)
 
 
 def normalised(column):
