@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
@@ -78,3 +79,39 @@ def test_median_is_counted_not_sketched(spark):
 def test_similar_names_are_dealt_to_all_partitions(spark, data):
     out = all_queries()["e1_string_similarity"](spark, data)
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shuffles(spark, result):
+    """Shuffles by keys in the plan of a result where no table is small enough to broadcast."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = result()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    return plan.count("Exchange hashpartitioning(")
+
+
+# Both tables of the join with the objects and of that with the events, then small tables by type.
+@pytest.mark.parametrize(("name", "most"), [("f32_pair_totals", 6), ("f34_cardinality_evidence", 4), ("f23_type_signatures", 5), ("f39_interaction_patterns", 14)])
+def test_events_meet_their_types_in_one_shuffle(spark, data, name, most):
+    assert shuffles(spark, lambda: all_queries()[name](spark, data)) <= most
+
+
+def test_totem_joins_lives_to_a_pair_once(spark, data):
+    assert shuffles(spark, lambda: all_queries()["f37_totem_cardinalities"](spark, data)) <= 60
+
+
+def test_types_of_odd_events(spark):
+    """Events without relations, with unknown objects only and with repeated relations."""
+    types = {"a1": "A", "a2": "A", "b1": "B"}
+    log = ocel_of(spark, {"e1": (0, "x", ["a1", "a2", "b1"]), "e2": (1, "x", ["a1", "b1"]), "e3": (2, "y", []), "e4": (3, "y", ["a1"])}, types)
+    log = log.with_(
+        events=log.events.unionByName(spark.createDataFrame([("e5", "y")], "event_id string, activity string").withColumn("ts", F.lit(None).cast(log.events.schema["ts"].dataType))),
+        e2o=log.e2o.unionAll(log.e2o.where("event_id = 'e2'")).unionAll(spark.createDataFrame([("e5", "gone", "q"), ("e4", "gone", "q"), ("gone", "b1", "q")], log.e2o.schema)),
+    )
+    assert {tuple(r) for r in profile.type_signatures(log).collect()} == {("x", "A+B", 2), ("y", "", 1), ("y", "A", 1)}
+    assert {tuple(r) for r in profile.pair_totals(log).collect()} == {("A", "B", 2, 1, 0, 1, 0)}
+    assert {tuple(r) for r in profile.cardinality_evidence(log).collect()} == {("A", "B", 3, 1, 1, 1, 75.0), ("B", "A", 2, 1, 2, 2, 100.0)}
+    assert {tuple(r) for r in profile.repetition(log).collect()} == {("A", "x", 2, 1), ("A", "x", 1, 1), ("A", "y", 1, 1), ("B", "x", 2, 1)}
+    assert {(r.activity, r.object_type, r.divergent, r.convergent, r.deficient) for r in profile.interaction_patterns(log).collect()} == {("x", "A", True, True, False), ("x", "B", True, False, False), ("y", "A", False, False, True)}
