@@ -99,7 +99,7 @@ def test_events_meet_their_types_in_one_shuffle(spark, data, name, most):
 
 
 def test_totem_joins_lives_to_a_pair_once(spark, data):
-    assert shuffles(spark, lambda: all_queries()["f37_totem_cardinalities"](spark, data)) <= 60
+    assert shuffles(spark, lambda: all_queries()["f37_totem_cardinalities"](spark, data)) <= 24
 
 
 def test_types_of_odd_events(spark):
