@@ -115,3 +115,9 @@ def test_types_of_odd_events(spark):
     assert {tuple(r) for r in profile.cardinality_evidence(log).collect()} == {("A", "B", 3, 1, 1, 1, 75.0), ("B", "A", 2, 1, 2, 2, 100.0)}
     assert {tuple(r) for r in profile.repetition(log).collect()} == {("A", "x", 2, 1), ("A", "x", 1, 1), ("A", "y", 1, 1), ("B", "x", 2, 1)}
     assert {(r.activity, r.object_type, r.divergent, r.convergent, r.deficient) for r in profile.interaction_patterns(log).collect()} == {("x", "A", True, True, False), ("x", "B", True, False, False), ("y", "A", False, False, True)}
+
+
+# Shuffles of the result; what is read twice is stored, so its own do not count.
+@pytest.mark.parametrize(("name", "most"), [("f31_interaction_field", 20), ("v13_compare_fields", 5), ("f33_representatives", 5), ("f33_field_partition", 20)])
+def test_contacts_are_found_once(spark, data, name, most):
+    assert shuffles(spark, lambda: all_queries()[name](spark, data)) <= most
