@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
-from tracewright.operators import conform, executions, graph_repair, profile, repairs
+from tracewright.model import EventLog
+from tracewright.operators import conform, executions, graph_repair, profile, relations, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -121,3 +122,20 @@ def test_types_of_odd_events(spark):
 @pytest.mark.parametrize(("name", "most"), [("f31_interaction_field", 20), ("v13_compare_fields", 5), ("f33_representatives", 5), ("f33_field_partition", 20)])
 def test_contacts_are_found_once(spark, data, name, most):
     assert shuffles(spark, lambda: all_queries()[name](spark, data)) <= most
+
+
+def task_log(spark, counts):
+    """A log of resources' counts by activity."""
+    rows = [(f"c{k}", a, r) for r, of in counts.items() for a, n in of.items() for k in range(n)]
+    return EventLog(spark.createDataFrame(rows, "case_id string, activity string, resource string").select("*", F.lit(None).cast("timestamp").alias("ts"), F.monotonically_increasing_id().alias("event_id")))
+
+
+def test_pairs_of_resources_are_not_shuffled(spark):
+    """Pairs are made of two rows of profiles, at most one of which is shuffled."""
+    counts = {"r1": {"a": 2, "b": 1}, "r2": {"a": 1, None: 1}, "r3": {"c": 3}, "r4": {"a": 4, "b": 2}, None: {"a": 9}}
+    out = relations.similar_task(task_log(spark, counts))
+    got = {(r.a, r.b): (r.pearson, r.cosine, r.euclid) for r in out.collect()}
+    assert {k: v[1:] for k, v in got.items()} == {("r1", "r2"): (0.632455532, 0.366025404), ("r1", "r4"): (1.0, 0.309016994), ("r2", "r4"): (0.632455532, 0.210896722)}
+    assert got["r1", "r4"][0] == 1.0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
