@@ -10,7 +10,7 @@ from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
 from tracewright.model import EventLog
-from tracewright.operators import conform, executions, graph_repair, profile, relations, repairs
+from tracewright.operators import comparison, conform, executions, graph_repair, profile, relations, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -154,3 +154,15 @@ def test_clusters_of_profiles_in_rounds(spark, kinds, clusters, few):
     want = conform.agglomerate(spark, spark.createDataFrame(pairs, "a string, b string, similarity double"), clusters)
     got = conform.agglomerate_profiles(p, clusters, few=few, block=7)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_equal_parts_of_a_log_are_told_apart_at_once(spark):
+    """Twelve equal chains under other ids, more than are singled out one by one; and logs that differ from the start."""
+    def chains(ids):
+        types = {ids(k, x): "A" for k in range(12) for x in "pqr"}
+        return ocel_of(spark, {ids(k, "e" + e): (i, e, [ids(k, x) for x in e]) for k in range(12) for i, e in enumerate(("pq", "qr"))}, types)
+
+    one, two = chains(lambda k, x: f"{x}{k:02d}"), chains(lambda k, x: f"{k * 7 % 12:02d}{x}")
+    same, reason, pairs = comparison.equivalence(one, two, tries=1)
+    assert same and reason == "a mapping" and pairs.count() == 60
+    assert comparison.equivalence(one, two.with_(events=two.events.withColumn("activity", F.lit("x"))))[:2] == (False, "colours differ")
