@@ -10,7 +10,7 @@ from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
 from tracewright.model import EventLog
-from tracewright.operators import comparison, conform, executions, graph_repair, profile, relations, repairs
+from tracewright.operators import comparison, conform, executions, graph, graph_repair, profile, relations, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -166,3 +166,16 @@ def test_equal_parts_of_a_log_are_told_apart_at_once(spark):
     same, reason, pairs = comparison.equivalence(one, two, tries=1)
     assert same and reason == "a mapping" and pairs.count() == 60
     assert comparison.equivalence(one, two.with_(events=two.events.withColumn("activity", F.lit("x"))))[:2] == (False, "colours differ")
+
+
+@pytest.mark.parametrize("gathered", [20_000, 3, 0])
+def test_parts_of_a_graph_are_searched_alone(spark, monkeypatch, gathered):
+    """Chains with cycles and a lone loop: few jobs where parts are small, and the same by joins where they are not."""
+    monkeypatch.setattr(graph, "GATHERED", gathered)
+    pairs = [(10 * k + i, 10 * k + i + 1) for k in range(3) for i in range(k + 2)] + [(1, 0), (22, 21), (99, 99), (50, 51), (51, 52), (52, 50), (52, 53)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    group = {r.vertex: r.grp for r in graph.groups_of(e.toDF("u", "v")).collect()}
+    assert sorted(sorted(v for v in group if group[v] == x) for x in set(group.values())) == [[0, 1, 2], [10, 11, 12, 13], [20, 21, 22, 23, 24], [50, 51, 52, 53], [99]]
+    want = {v: v for v in group} | {1: 0, 22: 21, 51: 50, 52: 50}
+    assert {tuple(r) for r in graph.strong_components(e, "a", "b").collect()} == set(want.items())
+    assert {tuple(r) for r in graph.condensed_paths(e, "a", "b").collect()} == {(0, 0), (2, 1), (10, 0), (11, 1), (12, 2), (13, 3), (20, 0), (21, 1), (23, 2), (24, 3), (50, 0), (53, 1)}
