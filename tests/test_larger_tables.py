@@ -179,3 +179,12 @@ def test_parts_of_a_graph_are_searched_alone(spark, monkeypatch, gathered):
     want = {v: v for v in group} | {1: 0, 22: 21, 51: 50, 52: 50}
     assert {tuple(r) for r in graph.strong_components(e, "a", "b").collect()} == set(want.items())
     assert {tuple(r) for r in graph.condensed_paths(e, "a", "b").collect()} == {(0, 0), (2, 1), (10, 0), (11, 1), (12, 2), (13, 3), (20, 0), (21, 1), (23, 2), (24, 3), (50, 0), (53, 1)}
+
+
+def test_lives_are_read_once(spark, data):
+    """Variants are stored before they are mined and replayed, and lives need no pass of their own for repeated relations."""
+    assert shuffles(spark, lambda: all_queries()["h6_object_replay"](spark, data)) == 0
+    log = ocel_of(spark, {"e1": (0, "x", ["a1"]), "e2": (0, "y", ["a1"]), "e3": (1, "x", ["a1"])}, {"a1": "A"})
+    out = profile.lives(log.with_(e2o=log.e2o.unionAll(log.e2o)))
+    assert [tuple(r) for r in out.collect()] == [("A", "a1", ["x", "y", "x"])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
