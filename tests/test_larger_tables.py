@@ -188,3 +188,9 @@ def test_lives_are_read_once(spark, data):
     out = profile.lives(log.with_(e2o=log.e2o.unionAll(log.e2o)))
     assert [tuple(r) for r in out.collect()] == [("A", "a1", ["x", "y", "x"])]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+# Shuffles of the result: one type is joined by itself, and groups are counted once before the checks read their sizes.
+@pytest.mark.parametrize(("name", "most"), [("b2_flatten_most_frequent", 4), ("h18_smells", 20)])
+def test_types_and_sizes_are_counted_once(spark, data, name, most):
+    assert shuffles(spark, lambda: all_queries()[name](spark, data)) <= most
