@@ -1,5 +1,6 @@
 """What showed on odd and on larger tables only: each test failed before its change."""
 
+import datetime
 import itertools
 import random
 import time
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
-from tracewright.model import EventLog
-from tracewright.operators import comparison, conform, executions, graph, graph_repair, profile, relations, repairs
+from tracewright.model import OCEL, EventLog
+from tracewright.operators import comparison, conform, executions, graph, graph_repair, joins, profile, relations, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -194,3 +195,21 @@ def test_lives_are_read_once(spark, data):
 @pytest.mark.parametrize(("name", "most"), [("b2_flatten_most_frequent", 4), ("h18_smells", 20)])
 def test_types_and_sizes_are_counted_once(spark, data, name, most):
     assert shuffles(spark, lambda: all_queries()[name](spark, data)) <= most
+
+
+def test_near_events_look_ahead_once(spark):
+    """Pairs as by trying all, with ties, times before 1970, null times, double rows and several shared objects; found
+    without copies of the events in neighbouring spans and without a second pass over the relations."""
+    draw = random.Random(5)
+    times = {f"e{k}": None if k % 17 == 0 else datetime.datetime(1970, 1, 1) + datetime.timedelta(hours=draw.randrange(-60, 60)) for k in range(80)}
+    links = [(e, f"{draw.choice('ABC')}{draw.randrange(4)}") for e in times for _ in range(3)]
+    events = spark.createDataFrame([(e, "x", t) for e, t in times.items()], "event_id string, activity string, ts timestamp_ntz")
+    objects = spark.createDataFrame(sorted({(o, o[0]) for _, o in links}), "object_id string, object_type string")
+    log = OCEL(events, objects, spark.createDataFrame([(e, o, "q") for e, o in links], "event_id string, object_id string, qualifier string"))
+    out = joins.near_in_time(log, ["A", "B"], 7 * 3_600_000_000)
+    of = {e: {o for x, o in links if x == e and o[0] in "AB"} for e in times}
+    near = lambda a, b: times[a] and times[b] and abs(times[a] - times[b]) <= datetime.timedelta(hours=7)
+    want = {(a, b) for a in times for b in times if a < b and of[a] & of[b] and near(a, b)}
+    assert want and sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 6 and "BroadcastExchange" not in plan
