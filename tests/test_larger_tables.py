@@ -213,3 +213,11 @@ def test_near_events_look_ahead_once(spark):
     assert want and sorted(map(tuple, out.collect())) == sorted(want)
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") <= 6 and "BroadcastExchange" not in plan
+
+
+def test_faulty_relations_come_from_one_pass(spark, data):
+    """Rows that are there twice are copied, not read a second time, and ids of lines pass no pattern: one scan of the
+    lines, and one of the orders beside those of three small parts."""
+    plan = all_queries()["b10_deduplicate"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == 1 and plan.count("Relation [o_orderkey") <= 5
+    assert "StartsWith" in plan
