@@ -221,3 +221,35 @@ def test_faulty_relations_come_from_one_pass(spark, data):
     plan = all_queries()["b10_deduplicate"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey#") and plan.count("Relation [l_orderkey") == 1 and plan.count("Relation [o_orderkey") <= 5
     assert "StartsWith" in plan
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_profiles_count_relations_once(spark, monkeypatch, few):
+    """As by hand with double relations, null ids and qualifiers, unknown ends, and events and objects that are there
+    twice; of some names alone the same weights, and equal names never read the relations."""
+    monkeypatch.setattr(comparison, "BROADCAST", few)
+    draw = random.Random(2)
+    events = [(f"e{k}", draw.choice("abc"), datetime.datetime(2020, 1, 1, k % 5)) for k in range(30)] + [("e1", "a", None), ("e2", "c", None), (None, "b", None)]
+    objects = [(f"o{k}", draw.choice("PQR")) for k in range(12)] + [("o1", "P"), (None, "Q")]
+    links = [(draw.choice(["e99", None] + [e for e, _, _ in events]), draw.choice(["o99", None] + [o for o, _ in objects]), draw.choice(["x", "y", "", None])) for _ in range(150)]
+    e2o = spark.createDataFrame(links + links[:40], "event_id string, object_id string, qualifier string")
+    log = OCEL(spark.createDataFrame(events, "event_id string, activity string, ts timestamp_ntz"), spark.createDataFrame(objects, "object_id string, object_type string"), e2o)
+    pairs = {(e, o, q or "") for e, o, q in links}
+    want = {}
+    for kind, rows, at in (("activity", [(e, a) for e, a, _ in events], 0), ("object_type", objects, 1)):
+        n = {name: sum(x == name for _, x in rows) for _, name in rows}
+        want |= {(kind, name, "share"): n[name] / len(rows) for name in n}
+        for p in pairs:
+            for _, name in [r for r in rows if r[0] is not None and r[0] == p[at]]:
+                want[kind, name, f"q:{p[2]}"] = want.get((kind, name, f"q:{p[2]}"), 0) + 1 / n[name]
+        if kind == "activity":
+            for _, name, ts in events:
+                if ts:
+                    want[kind, name, f"h:{ts.hour}"] = want.get((kind, name, f"h:{ts.hour}"), 0) + 1 / n[name]
+    got = {tuple(r)[:3]: r.weight for r in comparison.profiles(log).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    only = spark.createDataFrame([("activity", "a"), ("object_type", "P")], "kind string, name string")
+    some = {tuple(r)[:3]: r.weight for r in comparison.profiles(log, only=only).collect()}
+    assert some == {k: v for k, v in got.items() if k[:2] in {("activity", "a"), ("object_type", "P")}}
+    unread = log.with_(e2o=e2o.withColumn("qualifier", F.raise_error(F.lit("read"))))
+    assert comparison.suspected_renames(unread, unread).count() == 0
