@@ -253,3 +253,41 @@ def test_profiles_count_relations_once(spark, monkeypatch, few):
     assert some == {k: v for k, v in got.items() if k[:2] in {("activity", "a"), ("object_type", "P")}}
     unread = log.with_(e2o=e2o.withColumn("qualifier", F.raise_error(F.lit("read"))))
     assert comparison.suspected_renames(unread, unread).count() == 0
+
+
+def test_events_of_a_leading_type_need_no_members(spark):
+    """Events belong to the leading objects in them, others by shares; the same as by all members, in few shuffles."""
+    types = {"A0": "A", "A1": "A", "A2": "A", "B0": "B", "B1": "B", "C0": "C"}
+    events = {"e0": (0, "x", ["A0", "B0"]), "e1": (1, "y", ["A0", "A1", "B0", "C0"]), "e2": (2, "x", ["B0", "B1"]), "e3": (2, "x", ["C0"]), "e4": (3, None, ["A0", "B0"]), "e5": (4, "z", [])}
+    log = ocel_of(spark, events, types)
+    members = executions.by_leading_type(log, "A")
+    assert {tuple(r) for r in members.collect()} == members_by_search(events, types, "A")
+    want = {tuple(r) for r in executions.events_of(log, members).collect()}
+    assert {tuple(r) for r in executions.events_of(log, leading="A").collect()} == want == {("A0", "e0"), ("A0", "e1"), ("A1", "e1"), ("A0", "e4"), ("A0", "e2"), ("A0", "e3"), ("A1", "e3")} | want
+    some = log.with_(events=log.events.where("event_id in ('e0', 'e1', 'e4')"))
+    assert shuffles(spark, lambda: executions.events_of(some, leading="A")) <= 2
+    for most in (None, 2):
+        for one, two in zip(executions.graphs(log, members, most), executions.graphs(log, most_events=most, leading="A")):
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+@pytest.mark.parametrize(("exact", "gathered"), [(40, 0), (1, 2000), (40, 2000)])
+def test_executions_are_drawn_alike(spark, monkeypatch, exact, gathered):
+    """In a row, by joins and by colours of large ones: the same variants; one event's number is one, however often it
+    is asked for."""
+    monkeypatch.setattr(executions, "EXACT", exact)
+    monkeypatch.setattr(executions, "GATHERED", gathered)
+    types = {f"A{k}": "A" for k in range(6)} | {f"B{k}": "B" for k in range(6)} | {"C": "C", "A9": "A"}
+    events = {f"e{k}{i}": (7 * i % 5 + k, "xyz"[i % 3], [f"A{k}", f"B{k if i % 2 else k // 2 * 2}"] + ["C"] * (k == 5 and i == 1)) for k in range(6) for i in range(4)}
+    log = ocel_of(spark, events, types)
+    got = {r.execution: (r.variant, r.n) for r in executions.variants(log, leading="A").collect()}
+    graphs = graphs_by_search(events, types, members_by_search(events, types, "A"))
+    same = lambda x, y: graphs[x] and executions.isomorphic(*graphs[x], *graphs[y])
+    want = {x: [y for y in sorted(graphs) if same(x, y)] for x in graphs}
+    assert got == {x: (ys[0], len(ys)) for x, ys in want.items()} and len({v for v, _ in got.values()}) > 2
+    sizes = {(r.n_events, r.variants, r.executions) for r in executions.variant_sizes(log, "A").collect()}
+    by_size = {}
+    for x, (v, _) in got.items():
+        by_size.setdefault(len(graphs[x][0]), []).append(v)
+    assert sizes == {(n, len(set(vs)), len(vs)) for n, vs in by_size.items()}
+    assert executions._events(log, True) is executions._events(log, True) and executions._pairs(log) is executions._pairs(log, True)
