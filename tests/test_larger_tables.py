@@ -291,3 +291,14 @@ def test_executions_are_drawn_alike(spark, monkeypatch, exact, gathered):
         by_size.setdefault(len(graphs[x][0]), []).append(v)
     assert sizes == {(n, len(set(vs)), len(vs)) for n, vs in by_size.items()}
     assert executions._events(log, True) is executions._events(log, True) and executions._pairs(log) is executions._pairs(log, True)
+
+
+def test_rows_of_one_event_id_count_in_graphs(spark):
+    """An id that two events have: one event of the execution, with both rows' places and counts in its graph."""
+    log = ocel_of(spark, {"e1": (0, "x", ["A0", "B0"]), "e2": (1, "x", ["A0", "B0"])}, {"A0": "A", "B0": "B"})
+    again = spark.createDataFrame([("e1", "x")], "event_id string, activity string").withColumn("ts", F.timestamp_seconds(F.lit(2)).cast("timestamp_ntz"))
+    log = log.with_(events=log.events.unionByName(again))
+    assert [tuple(r) for r in executions.events_of(log, leading="A").orderBy("event_id").collect()] == [("A0", "e1"), ("A0", "e2")]
+    nodes, edges = executions.graphs(log, leading="A")
+    assert {tuple(r) for r in nodes.collect()} == {("A0", "e1", "x/A=2,B=2"), ("A0", "e2", "x/A=1,B=1")}
+    assert {tuple(r) for r in edges.collect()} == {("A0", "e1", "e2", "A=2,B=2"), ("A0", "e2", "e1", "A=2,B=2")}
