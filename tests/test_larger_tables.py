@@ -302,3 +302,20 @@ def test_rows_of_one_event_id_count_in_graphs(spark):
     nodes, edges = executions.graphs(log, leading="A")
     assert {tuple(r) for r in nodes.collect()} == {("A0", "e1", "x/A=2,B=2"), ("A0", "e2", "x/A=1,B=1")}
     assert {tuple(r) for r in edges.collect()} == {("A0", "e1", "e2", "A=2,B=2"), ("A0", "e2", "e1", "A=2,B=2")}
+
+
+def test_a_plan_stores_what_is_read_again(spark, monkeypatch):
+    """Relations that nothing reads are not stored, others once, and all are as by each operation alone."""
+    types = {"a1": "A", "a2": "A", "b1": "B"}
+    log = ocel_of(spark, {"e1": (0, "x", ["a1", "b1"]), "e2": (0, "x", ["a1"]), "e3": (1, "y", []), "e4": (2, "y", ["a2"])}, types)
+    more = spark.createDataFrame([("e1", "a1", " X"), ("e1", "a1", None), ("e9", "a1", "x"), ("e2", "gone", "x"), ("e2", "a1", "x"), ("e1", "b1", "x")], log.e2o.schema)
+    attr = spark.createDataFrame([("e1", "k", "v"), ("e3", "k", "v")], "event_id string, name string, value string")
+    log = log.with_(e2o=log.e2o.unionAll(more), event_attr=attr)
+    plan = [("canonicaliseValues", {"scope": "qualifier"}), ("dropDanglingRelations", {}), ("deduplicateRelations", {}), ("dropEventsWithoutObjects", {}), ("dropImplausibleTimestamps", {"max_year": 2000}), ("disambiguateEventOrder", {"step": 1})]
+    stored = []
+    monkeypatch.setattr(repairs, "settled", lambda df, f=repairs.settled: stored.append(df.columns) or f(df))
+    out = repairs.repaired(log, plan)
+    assert len([c for c in stored if "_best" not in c]) == 2
+    assert {tuple(r) for r in out.e2o.collect()} == {("e1", "a1", ""), ("e1", "a1", "x"), ("e1", "b1", ""), ("e1", "b1", "x"), ("e2", "a1", ""), ("e2", "a1", "x"), ("e4", "a2", "")}
+    assert {r.event_id for r in out.events.collect()} == {"e1", "e2", "e4"}
+    assert {r.event_id for r in out.event_attr.collect()} == {"e1"}
