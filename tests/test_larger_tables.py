@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 import random
 import time
 
@@ -319,3 +320,31 @@ def test_a_plan_stores_what_is_read_again(spark, monkeypatch):
     assert {tuple(r) for r in out.e2o.collect()} == {("e1", "a1", ""), ("e1", "a1", "x"), ("e1", "b1", ""), ("e1", "b1", "x"), ("e2", "a1", ""), ("e2", "a1", "x"), ("e4", "a2", "")}
     assert {r.event_id for r in out.events.collect()} == {"e1", "e2", "e4"}
     assert {r.event_id for r in out.event_attr.collect()} == {"e1"}
+
+
+def test_gaps_are_ranked_in_one_shuffle_by_event(spark):
+    """As by hand, with double relations, null ids and a lost relation that was not there; candidates meet what the event
+    has and has lost in one shuffle by event."""
+    draw = random.Random(3)
+    links = [(f"e{k}", f"o{draw.randrange(8)}") for k in range(40) for _ in range(3)] + [("e1", "o1"), (None, "o2"), (None, "o3"), ("e0", None), ("e5", None)]
+    e2o = spark.createDataFrame([(e, o, "q") for e, o in links + links[:30]], "event_id string, object_id string, qualifier string")
+    log = OCEL(spark.createDataFrame([("e0", "x")], "event_id string, activity string"), spark.createDataFrame([("o0", "A")], "object_id string, object_type string"), e2o)
+    gaps = sorted({(e, o) for e, o in links if e in {"e0", "e3", "e4", "e5", "e6"} and o and o < "o4"}) + [("e7", "o9")]
+    kept = {x for x in links if x not in gaps}
+    lost = {e for e, _ in gaps}
+    train = {(e, o) for e, o in kept if e not in lost}
+    n = {o: sum(x == o for _, x in train) for _, o in train}
+    k = {(o, c): sum((e, o) in train and (e, c) in train for e in {e for e, _ in train if e}) for o in n for c in n if o and c and o != c}
+    want = {}
+    for e, gap in gaps:
+        has = {o for x, o in kept if x == e}
+        able = any(k.get((o, g), 0) for o in has for x, g in gaps if x == e)
+        cand = {c for o in has for c in n if k.get((o, c), 0)} - has if able else set()
+        score = {c: round(sum(math.log(k[o, c] / n[o] + 1e-9) - math.log(1e-9) for o in has if k.get((o, c), 0)) + len(has) * math.log(1e-9), 9) for c in cand}
+        order = sorted(cand, key=lambda c: (-score[c], c))
+        want[e, gap] = (order.index(gap) + 1, len(cand)) if gap in cand else (None, None)
+    out = conform.reconstruct(log, spark.createDataFrame(gaps, "event_id string, object_id string"))
+    assert {(r.event_id, r.object_id): (r["rank"], r.candidates) for r in out.collect()} == want and sum(v[0] is not None for v in want.values()) > 3
+    # Ids of events are shuffled with the lost relations only, never with candidates.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [event_id" in line or "Window" in line and "event_id" in line for line in plan.splitlines())
