@@ -12,7 +12,7 @@ from helpers import duck_rows, spark_rows
 from test_rules_and_executions import graphs_by_search, members_by_search, ocel_of
 
 from tracewright.model import OCEL, EventLog
-from tracewright.operators import comparison, conform, executions, graph, graph_repair, joins, profile, relations, repairs
+from tracewright.operators import comparison, conform, executions, fields, graph, graph_repair, joins, profile, relations, repairs
 from tracewright.plans import all_queries, all_sql
 
 
@@ -348,3 +348,18 @@ def test_gaps_are_ranked_in_one_shuffle_by_event(spark):
     # Ids of events are shuffled with the lost relations only, never with candidates.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate [event_id" in line or "Window" in line and "event_id" in line for line in plan.splitlines())
+
+
+def test_cohorts_are_made_in_one_pass(spark, data):
+    """Both cohorts as by one after the other, from contacts that are found once and not stored; a ripple goes without
+    making all relations distinct."""
+    c = spark.createDataFrame([("e1", "a1", "b1", 0.1, 0.9), ("e2", "a1", "b2", 0.6, 0.2), ("e3", "a2", "b2", None, 0.8)], "event_id string, object_a string, object_b string, phase_a double, phase_b double")
+    got = fields.cohorts(c, one=F.col("phase_a") < 0.5, two=F.col("phase_b") > 0.5).collect()
+    assert {(r.kind, r.id) for r in got if r.one} == {tuple(r) for r in fields.cohort(c.where("phase_a < 0.5")).collect()} == {("event", "e1"), ("object", "a1"), ("object", "b1")}
+    assert {(r.kind, r.id) for r in got if r.two} == {tuple(r) for r in fields.cohort(c.where("phase_b > 0.5")).collect()}
+    plan = all_queries()["f33_cohort_algebra"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" in plan
+    e2o = spark.createDataFrame([("e1", "a", "q"), ("e1", "a", "q"), ("e1", "b", "q"), ("e2", "b", "q")], "event_id string, object_id string, qualifier string")
+    members = spark.createDataFrame([("object", "a")], "kind string, id string")
+    out = fields.ripple(OCEL(e2o.select("event_id"), e2o.select("object_id"), e2o), members)
+    assert [tuple(r) for r in out.collect()] == [(0, 1, 1), (1, 1, 1)]
